@@ -57,7 +57,7 @@ def _adding(lookup):
     return lambda acc, b: acc + F.get(lookup, b)
 
 
-def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]], text_col: str = "text", evidence: float = 10.0) -> DataFrame:
+def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]], text_col: str = "text", evidence: float = 2.0) -> DataFrame:
     """docs with n_tokens and posterior (an array in the order of `tables`).
 
     A text's mean log-likelihood counts as `evidence` words at most, which keeps memberships soft.
@@ -141,11 +141,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_co
         raise ValueError(f"no labelled documents of {sorted(unknown)}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     scored = with_posteriors(docs if carry else docs.select(id_col, text_col), tables, text_col).withColumn("__u", F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    if not carry:
-        scored = stage(scored.drop(text_col), "memberships")
-        narrow = scored.select("n_tokens", "posterior")
-    else:
-        narrow = stage(scored.select("n_tokens", "posterior"), "memberships")
+    # written once: the fit reads two narrow columns of it, and the result adds the rate to it
+    scored = stage(scored if carry else scored.drop(text_col), "memberships")
+    narrow = scored.select("n_tokens", "posterior")
     targets = domain_targets(narrow, [weights.get(d, 0.0) for d in tables], budget, never_below)
     steps = fit_rates(narrow, targets, lowest, passes)
     names = F.array(*[F.lit(d) for d in tables])
