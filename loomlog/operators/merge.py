@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEMS = "doc string, parent string, parent_sub string, position long, client long, clock long, len long, content_ref int, content string, deleted boolean, current boolean, kind string, pending boolean"
+ITEMS = "doc string, parent string, parent_sub string, position long, client long, clock long, len long, content_ref int, content string, deleted boolean, current boolean, kind string, pending boolean, origin struct<client: long, clock: long>, right_origin struct<client: long, clock: long>"
 COUNTED = (2, 3, 4, 5, 7, 8, 9)
 
 
@@ -207,21 +207,22 @@ def merged_rows(doc, rows) -> list[tuple]:
     waiting = document.run(structs, [(int(r.client), int(r.clock), int(r.len)) for r in rows if r.kind == "Delete"])
     out, seen = [], set()
     text = lambda c: None if c is None else json.dumps(c)
+    pair = lambda x: None if x is None else {"client": x[0], "clock": x[1]}
     for (parent, sub), item in document.first.items():
         position = 0
         while item is not None:
             seen.add(id(item))
             live = not item.deleted
-            out.append((doc, parent_name(parent), sub, position, item.client, item.clock, item.len, item.ref, text(item.content), item.deleted, live and (sub is None or item.right is None), "Item", False))
+            out.append((doc, parent_name(parent), sub, position, item.client, item.clock, item.len, item.ref, text(item.content), item.deleted, live and (sub is None or item.right is None), "Item", False, pair(item.origin), pair(item.right_origin)))
             position, item = position + 1, item.right
-    out += [(doc, None, None, None, i.client, i.clock, i.len, i.ref, None, True, False, i.kind, False) for own in document.items.values() for i in own if id(i) not in seen]
-    out += [(doc, parent_name(s.parent), s.sub, None, s.client, s.clock, s.len, s.ref, text(s.content), False, False, s.kind, True) for s in waiting]
-    return out + [(doc, None, None, None, c, at, n, None, None, True, False, "Delete", True) for c, at, n in document.later]
+    out += [(doc, None, None, None, i.client, i.clock, i.len, i.ref, None, True, False, i.kind, False, None, None) for own in document.items.values() for i in own if id(i) not in seen]
+    out += [(doc, parent_name(s.parent), s.sub, None, s.client, s.clock, s.len, s.ref, text(s.content), False, False, s.kind, True, pair(s.origin), pair(s.right_origin)) for s in waiting]
+    return out + [(doc, None, None, None, c, at, n, None, None, True, False, "Delete", True, None, None) for c, at, n in document.later]
 
 
 def integrate(structs: DataFrame) -> DataFrame:
     """Decoded structs (as `codec.decode_updates` gives them) to placed items, see ITEMS."""
-    columns = [x.split()[0] for x in ITEMS.split(", ")]
+    columns = ["doc", "parent", "parent_sub", "position", "client", "clock", "len", "content_ref", "content", "deleted", "current", "kind", "pending", "origin", "right_origin"]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(merged_rows(pdf["doc"].iloc[0], list(pdf.itertuples(index=False))), columns=columns)
@@ -284,7 +285,8 @@ def fingerprints(items: DataFrame) -> DataFrame:
     known = state_vector(placed(items)).select("doc", F.concat_ws(":", F.lit("s"), "client", "state").alias("x"))
     gone = deleted_ranges(items).select("doc", F.concat_ws(":", F.lit("d"), "client", "clock", "len").alias("x"))
     said = texts(items).select("doc", F.concat_ws(":", F.lit("t"), "parent", "text").alias("x"))
-    held = maps(items).select("doc", F.concat_ws(":", F.lit("m"), "parent", "key", "content").alias("x"))
+    value = F.when(F.col("content_ref") == 9, F.get_json_object("content", "$.guid")).otherwise(F.col("content"))
+    held = maps(items).select("doc", F.concat_ws(":", F.lit("m"), "parent", "key", value).alias("x"))
     return known.unionAll(gone).unionAll(said).unionAll(held).groupBy("doc").agg(F.md5(F.array_join(F.sort_array(F.collect_list("x")), "\n")).alias("fingerprint"))
 
 
@@ -296,3 +298,107 @@ def describe(items: DataFrame) -> DataFrame:
     rows = each.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct(F.col("root").alias("name"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("keys", F.array().cast("array<string>")).alias("keys")))).alias("roots"))
     body = rows.join(subdocuments(items), "doc", "left").select("doc", F.to_json(F.struct(F.col("doc").alias("name"), "roots", F.coalesce("guids", F.array().cast("array<string>")).alias("subdocs"))).alias("body"))
     return body
+
+
+def _owner(parent: str) -> tuple | None:
+    """The owning item of a parent name such as #7:3, None for a root."""
+    if not parent.startswith("#"):
+        return None
+    client, _, clock = parent[1:].partition(":")
+    return int(client), int(clock)
+
+
+def encode(items: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
+    """(doc, payload): each document as one update, or what a peer with the state vector lacks of it.
+
+    vectors: (doc, client, state). Structs are filtered by the vector and the first one is sliced; the
+    deleted ranges always go along. What is pending is not part of a document's state.
+    """
+    from loomlog.functions import codec
+
+    known = None if vectors is None else vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("client", "state"))).alias("known"))
+    rows = items.join(known, "doc", "left") if known is not None else items.withColumn("known", F.lit(None).cast("map<long, long>"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        structs, deletes, states = [], {}, {}
+        pair = lambda x: None if x is None else (int(x["client"]), int(x["clock"]))
+        for r in pdf.sort_values(["client", "clock"]).itertuples(index=False):
+            client, clock, n = int(r.client), int(r.clock), int(r.len)
+            if r.deleted:
+                own = deletes.setdefault(client, [])
+                if own and own[-1][0] + own[-1][1] >= clock:
+                    own[-1][1] = max(own[-1][1], clock + n - own[-1][0])
+                else:
+                    own.append([clock, n])
+            if r.pending:
+                continue
+            held = dict(r.known) if r.known is not None else {}
+            skip = max(int(held.get(client, 0)) - clock, 0)
+            states[client] = clock + n
+            if skip >= n:
+                continue
+            s = {"client": client, "clock": clock + skip, "kind": r.kind, "len": n - skip, "origin": pair(r.origin), "right": pair(r.right_origin), "root": None, "owner": None, "sub": r.parent_sub if isinstance(r.parent_sub, str) else None, "ref": None, "content": None}
+            if r.kind == "Item":
+                c, ref = codec.unplain(json.loads(r.content)), int(r.content_ref)
+                if skip:
+                    s["origin"] = (client, clock + skip - 1)
+                    c = {"len": n - skip} if ref == 1 else {"str": cut_text(c["str"], skip)[1]} if ref == 4 else {"values": c["values"][skip:]}
+                owner = _owner(r.parent)
+                s |= {"ref": ref, "content": c, "owner": owner, "root": None if owner else r.parent}
+                if s["origin"] or s["right"]:
+                    s["sub"] = None  # taken over from the neighbour
+            structs.append(s)
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "payload": [codec.write_update(structs, deletes)]})
+
+    return rows.groupBy("doc").applyInPandas(one, "doc string, payload binary")
+
+
+def to_json(items: DataFrame) -> DataFrame:
+    """(doc, root, body): each root as JSON, with the types nested in it.
+
+    A type with keys is an object, any other a list of its values; a text is a string. One group is one document.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists: dict[str, list] = {}
+        keys: dict[str, dict] = {}
+        for r in pdf.sort_values("position").itertuples(index=False):
+            if isinstance(r.parent_sub, str):
+                if r.current:
+                    keys.setdefault(r.parent, {})[r.parent_sub] = r
+            else:
+                lists.setdefault(r.parent, []).append(r)
+
+        def values(r) -> list:
+            c, ref = json.loads(r.content), int(r.content_ref)
+            if ref in (2, 8):
+                return [json.loads(x) for x in c["values"]] if ref == 2 else c["values"]
+            if ref == 7:
+                return [render(f"#{int(r.client)}:{int(r.clock)}", c["type"])]
+            if ref == 5:
+                return [json.loads(c["json"])]
+            if ref == 9:
+                return [{"$subdoc": c["guid"]}]
+            return [c["str"]] if ref == 4 else [c.get("bytes")] if ref == 3 else []
+
+        def render(parent: str, kind: int | None):
+            own = lists.get(parent, [])
+            if kind == 1 or kind is None and not own:
+                return {k: values(r)[-1] for k, r in sorted(keys.get(parent, {}).items()) if values(r)}
+            found = [v for r in own for v in values(r)]
+            text = kind in (2, 6) or kind is None and any(int(r.content_ref) == 4 for r in own)
+            return "".join(v for v in found if isinstance(v, str)) if text else found
+
+        names = sorted({p for p in (*lists, *keys) if not p.startswith("#")})
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]] * len(names), "root": names, "body": [json.dumps(render(n, None), sort_keys=True, ensure_ascii=False) for n in names]})
+
+    return live(items).groupBy("doc").applyInPandas(one, "doc string, root string, body string")
+
+
+def load(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, skipped) of a log of payloads (doc, seq, payload): rows that do not parse are counted, not fatal."""
+    from loomlog.functions import codec
+
+    decoded = codec.decode_updates(log)
+    skipped = decoded.groupBy("doc").agg(F.count_if(F.col("error").isNotNull()).alias("skipped"))
+    return integrate(decoded), skipped
