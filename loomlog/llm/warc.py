@@ -204,7 +204,8 @@ def to_warc(records: DataFrame, path: str, smallest_payload: int = 0, archive_by
     Of records with equal payloads of at least `smallest_payload` bytes, that with the smallest
     page_id is the response; the others revisit it.
     """
-    firsts = records.where(F.col("payload_bytes") >= smallest_payload).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = records.where(F.col("payload_bytes") >= smallest_payload).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = stage(repeated, "first-records")  # written, so that the join below can be split where one payload is hot
     rows = records.join(firsts, "payload_digest", "left").select("url", "date", "page_id", "payload", "payload_bytes", "payload_digest", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= smallest_payload)).alias("again"), "first_id")
 
     class Make:
