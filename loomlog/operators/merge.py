@@ -11,6 +11,7 @@ dependencies are missing is returned with `pending` true and takes no place.
 
 import json
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -221,14 +222,34 @@ def merged_rows(doc, rows) -> list[tuple]:
 
 
 def integrate(structs: DataFrame) -> DataFrame:
-    """Decoded structs (as `codec.decode_updates` gives them) to placed items, see ITEMS."""
-    columns = ["doc", "parent", "parent_sub", "position", "client", "clock", "len", "content_ref", "content", "deleted", "current", "kind", "pending", "origin", "right_origin"]
+    """Decoded structs (as `codec.decode_updates` gives them) to placed items, see ITEMS.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(merged_rows(pdf["doc"].iloc[0], list(pdf.itertuples(index=False))), columns=columns)
-        return out.astype({k: "Int64" for k in ("position", "client", "clock", "len", "content_ref")})
+    One shuffle deals and sorts the rows by document; a task then holds one document at a time. Rows with
+    an error or without a document are left out.
+    """
+    columns = ["doc", "parent", "parent_sub", "position", "client", "clock", "len", "content_ref", "content", "deleted", "current", "kind", "pending", "origin", "right_origin"]
 
-    return structs.where("error is null").dropDuplicates(["doc", "client", "clock", "len", "kind"]).groupBy("doc").applyInPandas(one, ITEMS)
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({k: "Int64" for k in ("position", "client", "clock", "len", "content_ref")})
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, out = None, {}, []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                if r.doc != at and held:
+                    out += merged_rows(at, list(held.values()))
+                    held = {}
+                    if len(out) >= 10_000:
+                        yield frame(out)
+                        out = []
+                at = r.doc
+                held.setdefault((r.client, r.clock, r.len, r.kind), r)  # a struct that comes again is the same
+        if held:
+            out += merged_rows(at, list(held.values()))
+        if out:
+            yield frame(out)
+
+    return structs.where("error is null and doc is not null").repartition("doc").sortWithinPartitions("doc").mapInPandas(work, ITEMS)
 
 
 def placed(items: DataFrame) -> DataFrame:
