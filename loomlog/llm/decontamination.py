@@ -71,6 +71,11 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / every if every else 0.0
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in `known`, which is sorted and not empty."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Items:
     """The benchmark's items by window size, with their block index."""
 
@@ -115,12 +120,14 @@ class Items:
         """(item, similarity, first word, words) of the best window of each item that the text holds."""
         h = shingle_hashes(words(text), self.shingle, known)
         hit = np.nonzero(self.sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
-        hit = hit[np.isin(h[hit], self.vocabulary)]
         out = []
+        if not len(hit):
+            return out
+        hit = hit[among(h[hit], self.vocabulary)]
         if not len(hit):
             return out
         for n, of in self.by_size.items():
-            own = hit[np.isin(h[hit], of["shingles"])]
+            own = hit[among(h[hit], of["shingles"])]
             if not len(own):
                 continue
             best: dict[int, tuple] = {}
@@ -134,7 +141,7 @@ class Items:
                         break
                     part = h[begin:end]
                     sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits(part), axis=0, dtype=np.int32)))
-                    held = np.concatenate(([0], np.cumsum(np.isin(part, of["shingles"]))))
+                    held = np.concatenate(([0], np.cumsum(among(part, of["shingles"]))))
                     with_hit = np.nonzero(held[size:] - held[:-size] > 0)[0]
                     for at, fp in zip(with_hit.tolist(), packed(sums[size:] - sums[:-size])[with_hit]):
                         near = self.near(of, fp)
