@@ -11,7 +11,10 @@ sample the same places and only about one suffix in eighty-five is sorted (q = 3
 3. What is left (the edges of repeats) is refined with its bytes at hand: buckets of 8-grams at every
    offset are refined by sorting on pairs (own bucket, bucket of a later offset), which doubles the
    length compared, 8, 16, 32 ... `length`; a place whose bucket holds one string drops out.
-   A bucket with more than `group` suffixes is not gathered: its strings are counted as 128-bit hashes.
+   A bucket with more than `group` suffixes is not gathered but parted, again and again: into the strings that
+   start in the farther and in the nearer half of the places before the sampled one, each half bucketed by the
+   bytes that all its strings share. A half that shares them with nobody drops out, one that fits is gathered, and
+   after eight partings a half is one string.
 4. Each place yields one span; spans of a document are united and cut out.
 
 All counts are pre-aggregated by task, joins back to the suffixes are plain equi-joins, which adaptive
@@ -35,7 +38,6 @@ from loomlog.llm.common import stage
 
 LENGTH, Q, GROUP, CHUNK = 200, 32, 2048, 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit numbers
-_SECOND_BASE = 0xD6E8FEB86659FD93
 _NULL_ID = -(2**63)
 
 
@@ -144,8 +146,22 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
+CONTEXT = "q long, q2 long, d long, t long, pos int, lead int, near int, far int, bytes binary"
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in CONTEXT.split(", ")]
+    for i in range(0, len(rows), 20_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 20_000]), kinds)], names)
+
+
 def _contexts(joined: DataFrame, length: int, q: int) -> DataFrame:
-    """(q, many, d, t, pos, lead, bytes): what strings around each open suffix can cover."""
+    """CONTEXT rows: the bytes that the strings around each open suffix can cover.
+
+    The strings of a row start from `near` to `far` bytes before the sampled place, which is `lead`
+    bytes in.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -155,29 +171,75 @@ def _contexts(joined: DataFrame, length: int, q: int) -> DataFrame:
                 for x in at.as_py():
                     p = x["pos"]
                     begin = max(p - (length - q), 0)
-                    rows.append((x["q"], x["many"], d.as_py(), t.as_py(), p, p - begin, raw[begin : p + length]))
-            for i in range(0, len(rows), 20_000):
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 20_000]), kinds)], ["q", "many", "d", "t", "pos", "lead", "bytes"])
+                    rows.append((x["q"], 0, d.as_py(), t.as_py(), p, p - begin, 0, length - q, raw[begin : p + length]))
+            yield from _batches(rows)
+
+    return joined.mapInArrow(work, CONTEXT)
+
 
-    return joined.mapInArrow(work, "q long, many boolean, d long, t long, pos int, lead int, bytes binary")
+def _parted(contexts: DataFrame, length: int) -> DataFrame:
+    """CONTEXT rows of both halves of each row, bucketed by 128 bits of what all strings of the half share."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
-def refine(contexts: list[bytes], leads: list[int], length: int) -> list[np.ndarray]:
+        for b in batches:
+            rows: list[tuple] = []
+            for r in b.to_pylist():
+                middle = (r["near"] + r["far"]) // 2
+                for near, far in ((r["near"], middle), (middle + 1, r["far"])):
+                    # those of the half that the document has room for
+                    n, f = max(near, r["lead"] + length - len(r["bytes"])), min(far, r["lead"])
+                    if near > far or n > f:
+                        continue
+                    shared = r["bytes"][r["lead"] - near : r["lead"] - far + length]
+                    h = np.array(divmod(xxhash.xxh3_128_intdigest(shared, far), 1 << 64), np.uint64).view(np.int64)
+                    rows.append((int(h[0]), int(h[1]), r["d"], r["t"], r["pos"], f, near, far, r["bytes"][r["lead"] - f : r["lead"] - n + length]))
+            yield from _batches(rows)
+
+    return contexts.select(*[x.split()[0] for x in CONTEXT.split(", ")]).mapInArrow(work, CONTEXT)
+
+
+def _shared(parts: list[bytes], keys: list) -> np.ndarray:
+    """The longest prefix that each part shares with another of the same key."""
+    n = len(parts)
+    order = sorted(range(n), key=lambda i: (keys[i], parts[i]))
+    width = max(map(len, parts), default=0)
+    rows = np.frombuffer(b"".join(parts[i].ljust(width, b"\0") for i in order), np.uint8).reshape(n, width)
+    sizes = np.array([len(parts[i]) for i in order])
+    differ = rows[1:] != rows[:-1]
+    both = np.where(differ.any(1), differ.argmax(1), width) if width else np.zeros(max(n - 1, 0), np.int64)
+    both = np.minimum(both, np.minimum(sizes[1:], sizes[:-1]))
+    both[[keys[i] != keys[j] for i, j in zip(order, order[1:])]] = 0
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(np.concatenate(([0], both)), np.concatenate((both, [0])))
+    return out
+
+
+def refine(contexts: list[bytes], leads: list[int], length: int, keys: list | None = None) -> list[np.ndarray]:
     """For each context, the offsets of the strings of `length` bytes that another context has too, as far
-    from its sampled place (which is `leads` bytes in).
+    from its sampled place (which is `leads` bytes in). keys: the buckets, where contexts are of several.
 
-    Exact: buckets of 8 bytes are refined by the buckets of later offsets until they stand for
-    `length` bytes; only strings all of whose buckets hold two and more go on. Being as far from the sampled
+    Exact. Sorting a bucket by what follows the sampled place, and by what comes before it read
+    backwards, shows how far each suffix agrees with any other either way; strings beyond that are unique.
+    The rest is settled by buckets of 8 bytes that are refined by the buckets of later offsets until they stand
+    for `length` bytes; only strings all of whose buckets hold two and more go on. Being as far from the sampled
     place keeps a string apart from itself where contexts of one document overlap.
     """
+    if not contexts:
+        return []
+    keys = [0] * len(contexts) if keys is None else keys
+    after = _shared([c[k:] for c, k in zip(contexts, leads)], keys)
+    before = _shared([c[:k][::-1] for c, k in zip(contexts, leads)], keys)
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     begins = ends - sizes
     data = np.frombuffer(b"".join(contexts) + bytes(8), np.uint8)
     n = len(data)
     away = np.arange(n) - np.concatenate((np.repeat(begins + np.array(leads), sizes), np.zeros(8, np.int64)))
-    starts = np.concatenate([np.arange(b, e - length + 1) for b, e in zip(begins, ends)])
+    at = begins + np.array(leads)
+    first, last = np.maximum(begins, at - before), np.minimum(ends, at + after) - length
+    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first.tolist(), last.tolist()) if a <= b] or [np.empty(0, np.int64)])
     bucket = np.zeros(n, np.uint64)
     for k in range(8):
         bucket[: n - 7] |= data[k : n - 7 + k].astype(np.uint64) << np.uint64(8 * k)
@@ -207,15 +269,15 @@ def refine(contexts: list[bytes], leads: list[int], length: int) -> list[np.ndar
 
 
 def _local_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """(d, t, start, stop) of the buckets that a task can hold; rows come dealt and sorted by q."""
-    fields = ["q", "d", "t", "pos", "lead", "bytes"]
+    """(d, t, start, stop) of the buckets that a task can hold; rows come dealt and sorted by bucket."""
+    fields = ["q", "q2", "d", "t", "pos", "lead", "bytes"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
         def flush(rows: list[dict]) -> pa.RecordBatch:
             out: tuple[list, ...] = ([], [], [], [])
-            for r, offsets in zip(rows, refine([r["bytes"] for r in rows], [r["lead"] for r in rows], length)):
+            for r, offsets in zip(rows, refine([r["bytes"] for r in rows], [r["lead"] for r in rows], length, [(r["q"], r["q2"]) for r in rows])):
                 if len(offsets):
                     begin = r["pos"] - r["lead"]
                     for column, x in zip(out, (r["d"], r["t"], begin + int(offsets.min()), begin + int(offsets.max()) + length)):
@@ -225,7 +287,7 @@ def _local_spans(contexts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 # whole buckets only; several small ones are refined together
-                if len(held) >= GROUP and held[-1]["q"] != r["q"]:
+                if len(held) >= GROUP and (held[-1]["q"], held[-1]["q2"]) != (r["q"], r["q2"]):
                     yield flush(held)
                     held = []
                 held.append(r)
@@ -235,45 +297,38 @@ def _local_spans(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select(*fields).mapInArrow(work, "d long, t long, start long, stop long")
 
 
-def _window_hashes(contexts: DataFrame, length: int) -> DataFrame:
-    """(h1, h2, d, t, at): a 128-bit hash of each string in the contexts of very large buckets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = powers(n=4096), powers(_SECOND_BASE, 4096)
-        for b in batches:
-            for d, t, pos, lead, data in zip(*(b.column(i) for i in range(5))):
-                raw = np.frombuffer(data.as_buffer(), np.uint8)
-                h1, h2 = gram_hashes(raw, length, one), gram_hashes(raw, length, two)
-                at = pos.as_py() - lead.as_py() + np.arange(len(h1))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1.view(np.int64), h2.view(np.int64), np.full(len(h1), d.as_py()), np.full(len(h1), t.as_py()), at)], ["h1", "h2", "d", "t", "at"])
-
-    return contexts.select("d", "t", "pos", "lead", "bytes").mapInArrow(work, "h1 long, h2 long, d long, t long, at long")
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, group: int = GROUP) -> DataFrame:
     """(d, t, spans): for each document with repeats, the byte spans [start, stop) to remove."""
     keyed = _keyed(docs, id_col, text_col)
-    suffixes = _suffixes(keyed, length, q)
-    buckets = suffixes.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    open_ = stage(suffixes.join(buckets, "q"), "suffixes")
+    suffixes = stage(_suffixes(keyed, length, q), "suffixes")
+    # counts are written before they are joined: then both sides are plain exchanges, which can be split where a bucket is hot
+    buckets = stage(suffixes.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("q"), "buckets")
+    open_ = stage(suffixes.join(buckets, "q"), "open")
     # refined by everything around: (q, c) together are 128 bits
-    whole = open_.groupBy("q", "c").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    flagged = stage(open_.join(whole, ["q", "c"], "left"), "refined")
+    whole = stage(open_.groupBy("q", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("d", "t", "pos")).alias("first")).where("m > 1"), "whole")
+    flagged = stage(open_.join(whole.select("q", "c", "m"), ["q", "c"], "left"), "flagged")
     done = flagged.where("m is not null").select("d", "t", F.greatest(F.col("pos") - (length - q), F.lit(0)).cast("long").alias("start"), (F.col("pos") + length).cast("long").alias("stop"))
     # the edges: suffixes that share their q-gram but not everything around; of those that do, one stands for all
-    first = whole.select("q", "c").join(flagged.where("m is not null").groupBy("q", "c").agg(F.min(F.struct("d", "t", "pos")).alias("x")), ["q", "c"]).select("q", F.col("x.d").alias("d"), F.col("x.t").alias("t"), F.col("x.pos").alias("pos"))
+    first = whole.select("q", F.col("first.d").alias("d"), F.col("first.t").alias("t"), F.col("first.pos").alias("pos"))
     edges = flagged.where("m is null").select("q", "d", "t", "pos").unionByName(first)
-    sizes = edges.groupBy("q").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    wanted = edges.join(sizes, "q").groupBy("d", "t").agg(F.collect_list(F.struct("q", (F.col("k") > group).alias("many"), "pos")).alias("at"))
-    contexts = stage(_contexts(_packed(keyed).join(wanted, ["d", "t"]).select("d", "t", "z", "at"), length, q), "contexts")
-    some = contexts.where("not many")
-    local = _local_spans(some.repartition("q").sortWithinPartitions("q"), length)
-    windows = _window_hashes(contexts.where("many"), length)
-    # neighbouring suffixes of one document see the same string: count places, not sightings
-    places = windows.distinct()
-    twice = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    counted = places.join(twice, ["h1", "h2"]).select("d", "t", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
-    return done.unionByName(local).unionByName(counted).groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    sizes = stage(edges.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("q"), "sizes")
+    wanted = edges.join(sizes, "q").groupBy("d", "t").agg(F.collect_list(F.struct("q", "pos")).alias("at"))
+    contexts = _contexts(_packed(keyed).join(wanted, ["d", "t"]).select("d", "t", "z", "at"), length, q)
+    found = done
+    while True:
+        contexts = stage(contexts, "contexts")
+        counts = stage(contexts.groupBy("q", "q2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+        held = contexts.join(counts, ["q", "q2"])
+        single = F.col("near") == F.col("far")
+        # all that such a row stands for is one string, and its bucket holds it twice
+        found = found.unionByName(held.where(single).select("d", "t", (F.col("pos") - F.col("near")).cast("long").alias("start"), (F.col("pos") - F.col("near") + length).cast("long").alias("stop")))
+        fits = held.where(~single & (F.col("n") <= group))
+        found = found.unionByName(_local_spans(fits.repartition("q", "q2").sortWithinPartitions("q", "q2"), length))
+        large = held.where(~single & (F.col("n") > group))
+        if large.isEmpty():
+            break
+        contexts = _parted(large, length)
+    return found.groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def united(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
