@@ -13,8 +13,9 @@ sample the same places and only about one suffix in eighty-five is sorted (q = 3
    length compared, 8, 16, 32 ... `length`; a place whose bucket holds one string drops out.
    A bucket with more than `group` suffixes is not gathered but parted, again and again: into the strings that
    start in the farther and in the nearer half of the places before the sampled one, each half bucketed by the
-   bytes that all its strings share. A half that shares them with nobody drops out, one that fits is gathered, and
-   after eight partings a half is one string.
+   bytes that all its strings share. A half that shares them with nobody drops out, halves that are equal in all
+   their bytes are finished and one stands for all, one that fits is gathered, and after eight partings a half is
+   one string.
 4. Each place yields one span; spans of a document are united and cut out.
 
 All counts are pre-aggregated by task, joins back to the suffixes are plain equi-joins, which adaptive
@@ -146,11 +147,11 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z) if z else b""
 
 
-CONTEXT = "q long, q2 long, d long, t long, pos int, lead int, near int, far int, bytes binary"
+CONTEXT = "q long, q2 long, e long, d long, t long, pos int, lead int, near int, far int, bytes binary"
 
 
 def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    kinds = (*[pa.int64()] * 5, *[pa.int32()] * 4, pa.binary())
     names = [x.split()[0] for x in CONTEXT.split(", ")]
     for i in range(0, len(rows), 20_000):
         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[i : i + 20_000]), kinds)], names)
@@ -171,14 +172,17 @@ def _contexts(joined: DataFrame, length: int, q: int) -> DataFrame:
                 for x in at.as_py():
                     p = x["pos"]
                     begin = max(p - (length - q), 0)
-                    rows.append((x["q"], 0, d.as_py(), t.as_py(), p, p - begin, 0, length - q, raw[begin : p + length]))
+                    rows.append((x["q"], 0, 0, d.as_py(), t.as_py(), p, p - begin, 0, length - q, raw[begin : p + length]))
             yield from _batches(rows)
 
     return joined.mapInArrow(work, CONTEXT)
 
 
 def _parted(contexts: DataFrame, length: int) -> DataFrame:
-    """CONTEXT rows of both halves of each row, bucketed by 128 bits of what all strings of the half share."""
+    """CONTEXT rows of both halves of each row, bucketed by 128 bits of what all strings of the half share.
+
+    e: 64 bits more, of all the bytes of the half.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -194,7 +198,9 @@ def _parted(contexts: DataFrame, length: int) -> DataFrame:
                         continue
                     shared = r["bytes"][r["lead"] - near : r["lead"] - far + length]
                     h = np.array(divmod(xxhash.xxh3_128_intdigest(shared, far), 1 << 64), np.uint64).view(np.int64)
-                    rows.append((int(h[0]), int(h[1]), r["d"], r["t"], r["pos"], f, near, far, r["bytes"][r["lead"] - f : r["lead"] - n + length]))
+                    whole = r["bytes"][r["lead"] - f : r["lead"] - n + length]
+                    e = int(np.uint64(xxhash.xxh3_64_intdigest(whole, f)).view(np.int64))
+                    rows.append((int(h[0]), int(h[1]), e, r["d"], r["t"], r["pos"], f, near, far, whole))
             yield from _batches(rows)
 
     return contexts.select(*[x.split()[0] for x in CONTEXT.split(", ")]).mapInArrow(work, CONTEXT)
@@ -315,19 +321,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = edges.join(sizes, "q").groupBy("d", "t").agg(F.collect_list(F.struct("q", "pos")).alias("at"))
     contexts = _contexts(_packed(keyed).join(wanted, ["d", "t"]).select("d", "t", "z", "at"), length, q)
     found = done
+    level = 0
     while True:
         contexts = stage(contexts, "contexts")
+        if level:
+            # halves that are equal throughout are finished; one of them stands for all
+            equal = stage(contexts.groupBy("q", "q2", "e").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("d", "t", "pos")).alias("first")).where("m > 1").drop("m"), "equal")
+            matched = contexts.join(equal, ["q", "q2", "e"], "left")
+            begin = (F.col("pos") - F.col("lead")).cast("long")
+            found = found.unionByName(matched.where("first is not null").select("d", "t", begin.alias("start"), (begin + F.octet_length("bytes")).alias("stop")))
+            contexts = stage(matched.where(F.col("first").isNull() | (F.col("first") == F.struct("d", "t", "pos"))).drop("first"), "distinct-contexts")
         counts = stage(contexts.groupBy("q", "q2").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
         held = contexts.join(counts, ["q", "q2"])
         single = F.col("near") == F.col("far")
-        # all that such a row stands for is one string, and its bucket holds it twice
-        found = found.unionByName(held.where(single).select("d", "t", (F.col("pos") - F.col("near")).cast("long").alias("start"), (F.col("pos") - F.col("near") + length).cast("long").alias("stop")))
+        # all that such a row stands for is one string: distinct ones cannot share a bucket but by a clash of hashes
         fits = held.where(~single & (F.col("n") <= group))
         found = found.unionByName(_local_spans(fits.repartition("q", "q2").sortWithinPartitions("q", "q2"), length))
         large = held.where(~single & (F.col("n") > group))
         if large.isEmpty():
             break
-        contexts = _parted(large, length)
+        contexts, level = _parted(large, length), level + 1
     return found.groupBy("d", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
