@@ -335,7 +335,7 @@ def encode(items: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
     vectors: (doc, client, state). Structs are filtered by the vector and the first one is sliced; the
     deleted ranges always go along. What is pending is not part of a document's state.
     """
-    from loomlog.functions import codec
+    from loomlog.functions.codec import unplain, write_update  # functions, since a module with used UDFs cannot travel
 
     known = None if vectors is None else vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("client", "state"))).alias("known"))
     rows = items.join(known, "doc", "left") if known is not None else items.withColumn("known", F.lit(None).cast("map<long, long>"))
@@ -360,7 +360,7 @@ def encode(items: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
                 continue
             s = {"client": client, "clock": clock + skip, "kind": r.kind, "len": n - skip, "origin": pair(r.origin), "right": pair(r.right_origin), "root": None, "owner": None, "sub": r.parent_sub if isinstance(r.parent_sub, str) else None, "ref": None, "content": None}
             if r.kind == "Item":
-                c, ref = codec.unplain(json.loads(r.content)), int(r.content_ref)
+                c, ref = unplain(json.loads(r.content)), int(r.content_ref)
                 if skip:
                     s["origin"] = (client, clock + skip - 1)
                     c = {"len": n - skip} if ref == 1 else {"str": cut_text(c["str"], skip)[1]} if ref == 4 else {"values": c["values"][skip:]}
@@ -369,7 +369,7 @@ def encode(items: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
                 if s["origin"] or s["right"]:
                     s["sub"] = None  # taken over from the neighbour
             structs.append(s)
-        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "payload": [codec.write_update(structs, deletes)]})
+        return pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "payload": [write_update(structs, deletes)]})
 
     return rows.groupBy("doc").applyInPandas(one, "doc string, payload binary")
 
