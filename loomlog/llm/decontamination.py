@@ -8,7 +8,8 @@ radius. Candidates are verified by exact weighted-shingle similarity.
 Only windows with at least one shingle of the items are fingerprinted; no other window can have a
 similarity above zero. Everything happens where the document is read: nothing is shuffled, and a
 passage that a third of all documents hold costs each of them its own windows only. The items travel to the
-tasks in slices of at most `slice_items`, one pass over the documents a slice, so what is broadcast is bounded.
+tasks in slices of at most `slice_items` items and SLICE_BYTES of text (or one longer item), one pass over the documents
+a slice, so what is broadcast is bounded.
 
 Words are runs of letters, digits and underscores, in lower case. Defined cases: null and empty texts match nothing; items
 with fewer words than a shingle (five) have none and match nothing; of equal items each matches;
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-SHINGLE, SIMILARITY, RADIUS, SLICE = 5, 0.8, 24, 20_000
+SHINGLE, SIMILARITY, RADIUS, SLICE, SLICE_BYTES = 5, 0.8, 24, 20_000, 32 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -164,11 +165,14 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, slice_items: int) -> Iterator[list[tuple]]:
     """Bounded lists of items; the driver holds one at a time."""
     rows: list[tuple] = []
+    size = 0
     for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).toLocalIterator():
-        rows.append((r[0], r[1]))
-        if len(rows) >= slice_items:
+        more = len((r[1] or "").encode("utf-8", "surrogatepass"))
+        if rows and (len(rows) >= slice_items or size + more > SLICE_BYTES):
             yield rows
-            rows = []
+            rows, size = [], 0
+        rows.append((r[0], r[1]))
+        size += more
     if rows:
         yield rows
 

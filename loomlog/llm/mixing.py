@@ -14,7 +14,7 @@ with the smallest id hash; everything else covers all rows.
 Defined cases: a null text counts as empty and has no tokens, the prior as posterior and its rate like
 any other; domains that are null, or beyond `max_domains` of the largest, join no domain of their own (documents are
 still scored); targets for unknown domains are refused; repeated rows are equal documents; an empty
-table gives an empty result; columns that clash with the new ones are refused.
+table gives an empty result; columns of the documents that are named like the new ones give way to them.
 """
 
 import math
@@ -26,6 +26,7 @@ from loomlog.llm.common import stage
 
 BUCKETS, MAX_LABELLED, MAX_DOMAINS = 8192, 20_000, 16
 WHITE = r"[\x20\x09-\x0D]+"
+NEW = ("n_tokens", "posterior", "domain", "rate", "copies")
 
 
 def _words(column: str):
@@ -53,6 +54,14 @@ def learn_tables(docs: DataFrame, labels: DataFrame, domain_col: str, id_col: st
     return {d: (math.log(sizes[d] / every), [math.log(x / total) for x in table[d]]) for d in sorted(sizes) for total in [sum(table[d])]}
 
 
+def _own(docs: DataFrame) -> str:
+    """A prefix that no column of docs has."""
+    prefix = "__mix"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
 def _adding(lookup):
     return lambda acc, b: acc + F.get(lookup, b)
 
@@ -62,21 +71,21 @@ def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]
 
     A text's mean log-likelihood counts as `evidence` words at most, which keeps memberships soft.
     """
-    if clash := {"n_tokens", "posterior"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"rename the columns {sorted(clash)} first")
-    made = docs.withColumn("__buckets", F.transform(_words(text_col), _bucket)).withColumn("n_tokens", F.size("__buckets").cast("long"))
-    each = [f"__score_{k}" for k in range(len(tables))]
+    own = _own(docs)
+    buckets, top, every = f"{own}_buckets", f"{own}_top", f"{own}_all"
+    made = docs.withColumn(buckets, F.transform(_words(text_col), _bucket)).withColumn("n_tokens", F.size(buckets).cast("long"))
+    each = [f"{own}_score_{k}" for k in range(len(tables))]
     scores = {}
     for name, (prior, table) in zip(each, tables.values()):
         # one literal array, folded at planning: a lookup by place
         lookup = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
-        total = F.aggregate("__buckets", F.lit(0.0), _adding(lookup))
+        total = F.aggregate(buckets, F.lit(0.0), _adding(lookup))
         scores[name] = F.lit(prior) + total * F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n_tokens"), F.lit(1)))
-    made = made.withColumns(scores).drop("__buckets")
-    made = made.withColumn("__top", F.greatest(*each) if len(each) > 1 else F.col(each[0]))
-    made = made.withColumns({name: F.exp(F.col(name) - F.col("__top")) for name in each})
-    made = made.withColumn("__all", sum((F.col(name) for name in each), F.lit(0.0)))
-    return made.withColumn("posterior", F.array(*[F.col(name) / F.col("__all") for name in each])).drop("__top", "__all", *each)
+    made = made.withColumns(scores).drop(buckets)
+    made = made.withColumn(top, F.greatest(*each) if len(each) > 1 else F.col(each[0]))
+    made = made.withColumns({name: F.exp(F.col(name) - F.col(top)) for name in each})
+    made = made.withColumn(every, sum((F.col(name) for name in each), F.lit(0.0)))
+    return made.withColumn("posterior", F.array(*[F.col(name) / F.col(every) for name in each])).drop(top, every, *each)
 
 
 def _rate(steps: list[list[float]], lowest: float):
@@ -134,13 +143,17 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_co
 
     `weights` names the share of tokens of each domain; labels has the id and `domain_col`.
     """
+    if clash := set(NEW) & {id_col.lower(), text_col.lower()}:
+        raise ValueError(f"the new columns {sorted(clash)} cannot take the place of the id or the text")
     tables = learn_tables(docs, labels, domain_col, id_col, text_col, max_labelled)
     if not tables:
         tables = {d: (math.log(1 / len(weights)), [math.log(1 / BUCKETS)] * BUCKETS) for d in sorted(weights)}
     elif unknown := set(weights) - set(tables):
         raise ValueError(f"no labelled documents of {sorted(unknown)}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    scored = with_posteriors(docs if carry else docs.select(id_col, text_col), tables, text_col).withColumn("__u", F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)) / F.lit(float(1 << 30)))
+    docs = docs if carry else docs.select(id_col, text_col)
+    chance = f"{_own(docs)}_chance"
+    scored = with_posteriors(docs, tables, text_col).withColumn(chance, F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     # written once: the fit reads two narrow columns of it, and the result adds the rate to it
     scored = stage(scored if carry else scored.drop(text_col), "memberships")
     narrow = scored.select("n_tokens", "posterior")
@@ -148,4 +161,4 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_co
     steps = fit_rates(narrow, targets, lowest, passes)
     names = F.array(*[F.lit(d) for d in tables])
     out = scored.withColumn("rate", _rate(steps, lowest)).withColumn("domain", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
-    return out.withColumn("copies", F.floor(F.col("rate") + F.col("__u")).cast("long")).drop("__u")
+    return out.withColumn("copies", F.floor(F.col("rate") + F.col(chance)).cast("long")).drop(chance)

@@ -12,7 +12,8 @@ inputs of a score.
 Defined cases: null and empty texts are scored like any other (all their measures are zero); labels
 that are null, or whose document is missing, are left out; repeated rows each count; with no usable
 labels every score is 0.5, and with one class every score is that class's smoothed share; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read, and one named like the scores gives way to them
+(`accept` adds none).
 """
 
 import zlib
@@ -22,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -177,27 +179,43 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.array([r.x for r in found]).reshape(-1, len(FEATURES)), np.array([r.y for r in found], dtype=float))
 
 
-def score(docs: DataFrame, model: Additive, text_col: str = "text") -> DataFrame:
-    """docs with a column `score` from 0 to 1; other columns pass through."""
-    if "score" in docs.columns:
-        raise ValueError("rename the column score first")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+def _scores(texts: pa.Array, model: Additive) -> np.ndarray:
+    return model.score(np.array([features(t.as_py() or "") for t in texts]).reshape(-1, len(FEATURES)))
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def score(docs: DataFrame, model: Additive, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """docs with a column `score_col` from 0 to 1, in place of one of that name; other columns pass through."""
+    if score_col.lower() == text_col.lower():
+        raise ValueError("the scores cannot take the place of the text")
+    rest = docs.drop(score_col)
+    schema = StructType([*rest.schema.fields, StructField(score_col, DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t or "") for t in b[text_col]]).reshape(-1, len(FEATURES))
-            yield b.assign(score=model.score(x))
+            found = pa.array(_scores(b.column(b.schema.get_field_index(text_col)), model), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, score_col])
 
-    return docs.mapInPandas(work, schema)
+    return rest.mapInArrow(work, schema)
+
+
+def accept(docs: DataFrame, model: Additive, lowest: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score `lowest` or more, with no column added or changed."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_scores(b.column(b.schema.get_field_index(text_col)), model) >= lowest, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
 
 
 def feature_scores(docs: DataFrame, model: Additive, keep: tuple, text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs and their scores, without carrying the texts back."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep), "score double"])
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t or "") for t in b[text_col]]).reshape(-1, len(FEATURES))
-            yield b[list(keep)].assign(score=model.score(x))
+            found = pa.array(_scores(b.column(len(keep)), model), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], found], [*b.schema.names[: len(keep)], "score"])
 
-    return docs.select(*keep, text_col).mapInPandas(work, schema)
+    return rows.mapInArrow(work, schema)

@@ -20,8 +20,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomlog.llm.common import stage
 from loomlog.llm.components import components
@@ -142,13 +143,38 @@ def hamming_links(fps: DataFrame, radius: int = RADIUS, group: int = 1024) -> Da
     return out
 
 
+def _least_of_group(made: DataFrame, value: Column, name: str, radius: int, group: int) -> DataFrame:
+    """(fp, name): the least value among the rows of made that belong to the group of each fingerprint."""
+    nodes = made.groupBy("fp").agg(F.min(value).alias("low"))
+    roots = components(hamming_links(nodes.select("fp"), radius, group))
+    root_of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = root_of.groupBy("root").agg(F.min("low").alias(name))
+    return root_of.join(lows, "root").select("fp", name)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = RADIUS, group: int = 1024) -> DataFrame:
     """(id, fingerprint, component_id) of each document; component_id is the smallest id reachable."""
     made = stage(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    nodes = made.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = components(hamming_links(nodes.select("fp"), radius, group))
-    root_of = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = root_of.groupBy("root").agg(F.min("low").alias("component_id"))
-    # only fingerprints that have a link or a copy differ from their own document
-    named = root_of.join(lows, "root").select(F.col("fp"), "component_id")
+    named = _least_of_group(made, F.col("id"), "component_id", radius, group)
     return made.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = RADIUS, group: int = 1024) -> DataFrame:
+    """The rows of docs with one of each near-duplicate group: that with the smallest id, null ids last.
+
+    Rows are told apart by a number of their own, written with them, so that rows which repeat an id are judged each;
+    of rows that tie on the smallest id one stays. Rows come back with the columns of docs.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("n"))
+    schema = StructType([f for f in rows.schema if f.name != "text"] + [StructField("fp", LongType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.fromiter((fingerprint(t.as_py() or "", words, seed) for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(found.view(np.int64))], ["row", "id", "n", "fp"])
+
+    numbered = stage(rows.mapInArrow(work, schema), "numbered")
+    made = numbered.select("id", "n", "fp")
+    first = _least_of_group(made, F.struct(F.col("id").isNull().alias("last"), "id", "n"), "first", radius, group)
+    gone = made.join(first, "fp").where("n <> first.n").select("n")
+    return numbered.join(gone, "n", "left_anti").select("row.*")

@@ -113,6 +113,17 @@ def test_simhash_matches_brute_force(spark):
     assert simhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_keep_one_of_each_group(spark):
+    """Rows that repeat an id are judged each; columns may be named like those in use."""
+    same, other = "a b c d e f", "quite another text of seven words here"
+    texts, ids = [same, same, same, other, other, None, ""], [5, 3, 3, 3, None, None, None]
+    docs = docs_of(spark, texts, ids).withColumns({"fp": F.lit("x"), "n": F.lit(1), "row": F.lit(2), "id": F.lit(3)})
+    kept = simhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (3, same), (3, other)]
+    assert simhash_dedup.keep_one(docs.limit(0)).count() == 0
+
+
 def test_crowded_fingerprints(spark):
     """A crowd around one point, all of it in the same blocks, goes through the finer levels."""
     rng = random.Random(1)

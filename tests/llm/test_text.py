@@ -175,6 +175,12 @@ def test_quality_edges(spark):
     scores = [r.score for r in quality_classifier.score(docs, quality_classifier.train(docs, labels)).collect()]
     assert len(scores) == 4 and all(0.5 < s < 1 for s in scores)
     assert quality_classifier.score(docs.limit(0), quality_classifier.train(docs, labels)).count() == 0
+    model = quality_classifier.train(docs, labels)
+    clash = docs.withColumn("Score", F.lit("mine")).withColumn("big", F.when(F.col("doc_id") == 1, F.lit(2**53 + 1)))
+    assert dict(quality_classifier.score(clash, model).dtypes)["score"] == "double"
+    kept = quality_classifier.accept(clash, model, 0.0)
+    assert kept.columns == clash.columns and sorted(map(str, kept.collect())) == sorted(map(str, clash.collect()))
+    assert quality_classifier.accept(clash, model, 1.1).count() == 0
     x = np.random.default_rng(0).normal(size=(3000, len(quality_classifier.FEATURES)))
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)  # only a pair can tell
     assert np.mean((quality_classifier.fit(x, y).score(x) > 0.5) == y) > 0.9
@@ -204,8 +210,12 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.limit(0), docs.limit(0), {"en": 1.0}).count() == 0
     with pytest.raises(ValueError):
         mixing.mix(docs, docs, {"xx": 1.0})
+    clash = docs.withColumns({"N_Tokens": F.lit(-1), "rate": F.lit("x"), "__mix_chance": F.lit(7)})
+    out = mixing.mix(clash, docs.select("doc_id", "lang"), {"en": 1.0})
+    assert sorted(r.N_Tokens if "N_Tokens" in out.columns else r.n_tokens for r in out.collect()) == [0, 1, 2, 2]
+    assert {r["__mix_chance"] for r in out.collect()} == {7} and dict(out.dtypes)["rate"] == "double"
     with pytest.raises(ValueError):
-        mixing.mix(docs.withColumn("N_Tokens", F.lit(1)), docs, {"en": 1.0})
+        mixing.mix(docs.withColumnRenamed("text", "rate"), docs, {"en": 1.0}, text_col="rate")
 
 
 def test_pipeline(spark):
