@@ -152,7 +152,7 @@ def _archives(rows: DataFrame, path: str, make, archive_bytes: int) -> str:
         if held:
             yield pd.DataFrame({"value": [b"".join(held).decode()]})
 
-    rows.mapInPandas(work, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    rows.mapInPandas(work, "value string").write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
