@@ -9,11 +9,17 @@ no file can hold more than 256 fingerprints, however many documents crowd around
 verified by Hamming distance in the task that holds the file, which passes on a spanning star of
 each piece, never all pairs. Components of these links give the groups.
 
+`keep_one`, the stage of a pipeline, links rows whose sets of five-word shingles have a Jaccard similarity of at least 0.8. Such
+pairs differ in ten bits or so, and blocks wide enough for that would be three bits each. Rows are filed instead under a fifth of their
+shingles, the rarest first (any two similar sets share one of those, whatever the order, so nothing is lost);
+pairs of a file are sieved by the SimHash of the sets, within 26 bits, and verified exactly.
+
 Defined cases: null and empty texts have the fingerprint zero and link like any other; shorter texts
 than one shingle are hashed whole; a null id never becomes a component id unless its whole component
 has none; repeated rows each get a row; an empty table gives an empty result.
 """
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,12 +28,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from loomlog.llm.common import stage
 from loomlog.llm.components import components
 
 BLOCKS, RADIUS, LEVELS = 6, 3, 3
+#: Of `keep_one`.
+NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 26
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -159,22 +167,148 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(named, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, radius: int = RADIUS, group: int = 1024) -> DataFrame:
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; a shorter text is hashed whole, an empty one is {0}."""
+    import xxhash
+
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.zeros(1, np.uint64)
+    return np.unique(shingle_hashes([xxhash.xxh3_64_intdigest(t) for t in tokens], min(words, len(tokens))))
+
+
+def shingle_hashes(tokens: list[int], size: int) -> np.ndarray:
+    """64-bit hashes of the runs of `size` hashed tokens."""
+    each, n = np.array(tokens, np.uint64), len(tokens) - size + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out = (out ^ each[k : n + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles, as an unsigned number."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 65536):
+        ones += np.unpackbits(np.ascontiguousarray(hashes[i : i + 65536].astype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def _common(rows: DataFrame, words: int, share: int = 16, least: int = 4, most: int = 1 << 17) -> np.ndarray:
+    """Shingles that are frequent in a sample of the texts, the rarest of them first; only an order of shingles depends on it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                found = [_shingle_set(t.as_py() or "", words) for t in b.column(0)[i : i + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
+
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(work, "s long")
+    found = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).collect()
+    return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rows whose sets of shingles are that similar; texts has n and text."""
+    ids = pairs.select(F.col("a").alias("n")).unionAll(pairs.select(F.col("b").alias("n"))).distinct()
+    some = stage(texts.join(ids, "n", "left_semi"), "candidate-texts")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            keep = []
+            for a, b, s, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(known) > 2000:
+                    known.clear()
+                for k, text in ((a, s), (b, t)):
+                    if k not in known:
+                        known[k] = _shingle_set(text or "", words)
+                x, y = known[a], known[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(some.select(F.col("n").alias("a"), F.col("text").alias("s")), "a").join(some.select(F.col("n").alias("b"), F.col("text").alias("t")), "b")
+    return joined.select("a", "b", "s", "t").mapInArrow(work, "a long, b long")
+
+
+def _pairs(files: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """(a, b): pairs of a file's rows that can be similar, are of different pieces so far and do not hold its first row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                n, fp, size, root = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in ("n", "fp", "size", "root"))
+                order = np.argsort(n)[1:]
+                n, fp, size, root = n[order], fp[order].view(np.uint64), size[order], root[order]
+                for i in range(0, len(n), 256):
+                    to = slice(i, i + 256)
+                    near = (np.bitwise_count(fp[to, None] ^ fp[None, i:]) <= radius) & (root[to, None] != root[None, i:]) & (n[to, None] < n[None, i:])
+                    near &= np.minimum(size[to, None], size[None, i:]) >= similarity * np.maximum(size[to, None], size[None, i:]) - 1e-9
+                    x, y = np.nonzero(near)
+                    yield pa.RecordBatch.from_arrays([pa.array(n[i:][y]), pa.array(n[i:][x])], ["a", "b"])
+
+    return files.select("rows").mapInArrow(work, "a long, b long")
+
+
+def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of rows that are similar.
+
+    numbered has n, fp, size and prefix (the shingles by which a row is filed). Each file is first compared with its first row,
+    which settles a crowd of near copies by one comparison a row; then pairs that are still of different pieces are.
+    """
+    filed = numbered.select(F.explode("prefix").alias("s"), "n", "fp", "size")
+    lows = stage(filed.groupBy("s").agg(F.min(F.struct("n", "fp", "size")).alias("low"), F.max("n").alias("high")).where("low.n <> high").select("s", "low"), "shared")
+    shared = stage(filed.join(lows, "s"), "filed")
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= radius) & (F.least("size", "low.size") >= similarity * F.greatest("size", "low.size") - 1e-9)
+    first = stage(shared.where((F.col("n") != F.col("low.n")) & close).select(F.col("n").alias("a"), F.col("low.n").alias("b")).distinct(), "first-pairs")
+    found = stage(_verified(first, texts, words, similarity), "first-links")
+    roots = components(found)
+    pieces = stage(shared.select("s", "n", "fp", "size").join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "fp", "size", F.coalesce("root", "n").alias("root")), "pieces")
+    # a file that is one piece by now is settled
+    open_ = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y and m > 2").select("s")
+    files = pieces.join(open_, "s", "left_semi").groupBy("s").agg(F.collect_list(F.struct("n", "fp", "size", "root")).alias("rows"))
+    rest = stage(_pairs(files, similarity, radius).distinct(), "other-pairs")
+    return found.unionAll(stage(_verified(rest, texts, words, similarity), "other-links"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """The rows of docs with one of each near-duplicate group: that with the smallest id, null ids last.
 
-    Rows are told apart by a number of their own, written with them, so that rows which repeat an id are judged each;
-    of rows that tie on the smallest id one stays. Rows come back with the columns of docs.
+    Rows are near duplicates if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are the
+    components of such pairs. Rows are told apart by a number of their own, written with them, so that rows which repeat an id are
+    judged each; of rows that tie on the smallest id one stays. Rows come back with the columns of docs.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("n"))
-    schema = StructType([f for f in rows.schema if f.name != "text"] + [StructField("fp", LongType())])
+    made = [StructField("fp", LongType()), StructField("size", LongType()), StructField("prefix", ArrayType(LongType()))]
+    schema = StructType([f for f in rows.schema if f.name != "text"] + made)
+    common = _common(rows, words)
+    sent = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.fromiter((fingerprint(t.as_py() or "", words, seed) for t in b.column(2)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(found.view(np.int64))], ["row", "id", "n", "fp"])
+        known, rank = sent.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                b = batch.slice(i, 500)
+                fps, sizes, prefixes = [], [], []
+                for t in b.column(2):
+                    h = _shingle_set(t.as_py() or "", words)
+                    fps.append(_set_fingerprint(h))
+                    sizes.append(len(h))
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.argsort(np.where(known[at] == h, rank[at], -1), kind="stable")]
+                    prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["row", "id", "n", "fp", "size", "prefix"],
+                )
 
     numbered = stage(rows.mapInArrow(work, schema), "numbered")
-    made = numbered.select("id", "n", "fp")
-    first = _least_of_group(made, F.struct(F.col("id").isNull().alias("last"), "id", "n"), "first", radius, group)
-    gone = made.join(first, "fp").where("n <> first.n").select("n")
-    return numbered.join(gone, "n", "left_anti").select("row.*")
+    roots = components(similar_links(numbered, numbered.select("n", F.col("row").getField(text_col).cast("string").alias("text")), words, similarity, radius))
+    named = roots.select(F.col("node").alias("n"), "root").unionAll(roots.select(F.col("root").alias("n"), "root").distinct())
+    held = stage(numbered.select("id", "n").join(named, "n").select("id", "n", "root"), "near-groups")
+    first = held.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("first"))
+    gone = held.join(first, "root").where("n <> first.n").select("n")
+    return numbered.select("n", "row").join(gone, "n", "left_anti").select("row.*")

@@ -124,6 +124,54 @@ def test_keep_one_of_each_group(spark):
     assert simhash_dedup.keep_one(docs.limit(0)).count() == 0
 
 
+def near_by_brute_force(texts):
+    """The places of the rows that stay: the first of each component of pairs with a five-word Jaccard similarity of 0.8."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        size = min(5, len(w))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    return {i for i, r in enumerate(root) if r == i}
+
+
+def test_keep_one_matches_brute_force(spark):
+    """Near copies of similarity around 0.8, chains of them, a crowd around one text and a passage that many share."""
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randint(0, 400)}" for _ in range(n)]
+    texts, passage = [], say(60)
+    for _ in range(40):
+        w = say(rng.randint(5, 150))
+        texts.append(" ".join(w))
+        for _ in range(rng.randint(0, 4)):
+            for _ in range(max(len(w) // 50, 1)):
+                w[rng.randint(0, len(w) - 1)] = f"new{rng.randint(0, 9)}"
+            texts.append(" ".join(w).upper())
+    crowd = say(120)
+    for i in range(60):
+        w = list(crowd)
+        w[rng.randint(0, 119)] = w[rng.randint(0, 119)] = f"c{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(passage + say(rng.randint(5, 60))) for _ in range(40)] + [None, "", "One", "one", "a b c d"]
+    rng.shuffle(texts)
+    want = near_by_brute_force(texts)
+    assert 100 < len(want) < len(texts) - 60
+    assert {r.doc_id for r in simhash_dedup.keep_one(docs_of(spark, texts)).collect()} == want
+
+
+def test_pipeline_stage_leaves_no_near_copy(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(100)).split(" ")
+    texts = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (10, 50, 90)] + [" ".join(base), "another text of some words"]
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs_of(spark, texts), "").collect()} == {0, 4}
+
+
 def test_crowded_fingerprints(spark):
     """A crowd around one point, all of it in the same blocks, goes through the finer levels."""
     rng = random.Random(1)
