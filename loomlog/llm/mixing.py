@@ -18,6 +18,7 @@ table gives an empty result; columns of the documents that are named like the ne
 """
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,24 +103,61 @@ def _rate(steps: list[list[float]], lowest: float):
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, after)
 
 
-def fit_rates(members: DataFrame, targets: list[float], lowest: float = 0.0, passes: int = 24, tolerance: float = 1e-6) -> list[list[float]]:
+def _curvature(members: DataFrame, size: int) -> tuple[list[list[float]], list[float], float]:
+    """The domains' Gram matrix, its diagonal, and the bound of a step."""
+    k = range(size)
+    p = [F.get("posterior", F.lit(i)) for i in k]
+    gram = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i in k for j in k]).first()
+    gram = [[float(gram[size * i + j]) for j in k] for i in k]
+    own = [max(gram[i][i], 1e-9) for i in k]
+    return gram, own, max(sum(gram[i][j] / math.sqrt(own[i] * own[j]) for j in k) for i in k) or 1.0
+
+
+def raised_targets(members: DataFrame, targets: list[float], lowest: float, tolerance: float = 1e-7, rounds: int = 50_000, most: float = 64.0) -> tuple[list[float], list[list[float]]]:
+    """(targets, steps): the targets' shares at a budget which rates of at least `lowest` (1 or more) can meet, and the steps to it.
+
+    What is added to a domain adds to others through soft memberships, so the budget is raised to what the fullest domain
+    holds after each step. Then no step is negative and no rate is held at `lowest`: steps add up to one, and the
+    domains' Gram matrix says what each does to all rows. Targets that cannot be met within `most` times
+    their budget come back as they are, without steps.
+    """
+    k = range(len(targets))
+    shares = [t / max(sum(targets), 1e-9) for t in targets]
+    gram, own, lipschitz = _curvature(members, len(targets))
+    start = [lowest * sum(gram[i]) for i in k]  # posteriors sum to one
+    step = [0.0 for _ in k]
+    first = max((start[i] / shares[i] for i in k if shares[i] > 0), default=0.0)
+    for _ in range(rounds):
+        got = [start[i] + sum(gram[i][j] * step[j] for j in k) for i in k]
+        budget = max((got[i] / shares[i] for i in k if shares[i] > 0), default=0.0)
+        gaps = [budget * shares[i] - got[i] for i in k]
+        if max(map(abs, gaps), default=0.0) <= tolerance * max(budget, 1.0):
+            return [budget * s for s in shares], [step] if any(step) else []
+        if budget > most * max(first, 1.0):
+            break
+        step = [step[i] + max(gaps[i], 0.0) / (own[i] * lipschitz) for i in k]
+    return targets, []
+
+
+def fit_rates(members: DataFrame, targets: list[float], lowest: float = 0.0, passes: int = 24, tolerance: float = 1e-6, steps: list[list[float]] | None = None) -> list[list[float]]:
     """Gradient steps that bring sum(rate * n_tokens * posterior) to the targets.
 
-    members has n_tokens and posterior. Minimises the squares of the domains' gaps, each weighted
-    by one over its own curvature. Stops when no gap exceeds `tolerance` of all target tokens.
+    members has n_tokens and posterior; steps: those already taken. Minimises the squares of the domains' gaps, each weighted
+    by one over its own curvature. Stops when no gap exceeds `tolerance` of all target tokens; warns of the gap that `passes` leave.
     """
     k = range(len(targets))
     p = [F.get("posterior", F.lit(i)) for i in k]
-    gram = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i in k for j in k]).first()
-    gram = [[float(gram[len(targets) * i + j]) for j in k] for i in k]
-    own = [max(gram[i][i], 1e-9) for i in k]
-    lipschitz = max(sum(gram[i][j] / math.sqrt(own[i] * own[j]) for j in k) for i in k) or 1.0
-    steps: list[list[float]] = []
-    for _ in range(passes):
+    _, own, lipschitz = _curvature(members, len(targets))
+    steps = list(steps or [])
+    for left in range(passes, -1, -1):
         rate = _rate(steps, lowest)
         got = members.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * p[i]), F.lit(0.0)) for i in k]).first()
         gaps = [targets[i] - float(got[i]) for i in k]
-        if max(map(abs, gaps), default=0.0) <= tolerance * max(sum(targets), 1.0):
+        gap = max(map(abs, gaps), default=0.0) / max(sum(targets), 1.0)
+        if gap <= tolerance:
+            break
+        if not left:
+            warnings.warn(f"rates miss the targets by up to {gap:.2e} of all target tokens after {passes} passes", stacklevel=2)
             break
         steps.append([g / (o * lipschitz) for g, o in zip(gaps, own)])
     return steps
@@ -127,7 +165,7 @@ def fit_rates(members: DataFrame, targets: list[float], lowest: float = 0.0, pas
 
 def domain_targets(members: DataFrame, weights: list[float], budget: float | None, never_below: bool) -> list[float]:
     """Target tokens of each domain: shares of `budget`, of the tokens there are, or, with
-    `never_below`, of the smallest total at which no domain has to give up any."""
+    `never_below`, of the smallest total at which no domain starts with more than its share (see `raised_targets`)."""
     mass = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))), F.lit(0.0)) for i in range(len(weights))]).first()
     total = sum(weights)
     shares = [w / total for w in weights]
@@ -158,7 +196,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_co
     scored = stage(scored if carry else scored.drop(text_col), "memberships")
     narrow = scored.select("n_tokens", "posterior")
     targets = domain_targets(narrow, [weights.get(d, 0.0) for d in tables], budget, never_below)
-    steps = fit_rates(narrow, targets, lowest, passes)
+    targets, steps = raised_targets(narrow, targets, lowest) if never_below and lowest >= 1 else (targets, [])
+    steps = fit_rates(narrow, targets, lowest, passes, steps=steps)
     names = F.array(*[F.lit(d) for d in tables])
     out = scored.withColumn("rate", _rate(steps, lowest)).withColumn("domain", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
     return out.withColumn("copies", F.floor(F.col("rate") + F.col(chance)).cast("long")).drop(chance)

@@ -203,6 +203,27 @@ def test_mixing(spark):
     assert min(r.copies for r in up) >= 1 and len(up) == docs.count()
 
 
+def test_mixing_never_below_meets_its_shares(spark):
+    """The pipeline's mix: every rate is at least 1, and the expected shares are those of TARGETS."""
+    import corpus_pipeline
+    from loomlog.llm.queries import TARGETS
+
+    sf = "/root/testdata/sf0.01"
+    rows = corpus_pipeline.mix(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()
+    got = [sum(r.rate * r.n_tokens * r.posterior[k] for r in rows) for k in range(len(TARGETS))]
+    assert min(r.rate for r in rows) >= 1
+    for k, lang in enumerate(sorted(TARGETS)):
+        assert abs(got[k] / sum(got) - TARGETS[lang]) < 1e-5
+
+
+def test_mixing_reports_the_gap_left(spark):
+    members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.2, 0.8])], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="miss the targets"):
+        mixing.fit_rates(members, [100.0, 1.0], lowest=1.0)
+    targets, steps = mixing.raised_targets(members, [11.0, 11.0], 1.0)
+    assert len(steps) == 1 and abs(targets[0] - targets[1]) < 1e-6 and min(steps[0]) >= 0
+
+
 def test_mixing_edges(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "a b", "en"), (2, "a b", "en"), (None, "c", None)], "doc_id long, text string, lang string")
     out = mixing.mix(docs, docs.select("doc_id", "lang"), {"en": 1.0}).collect()
