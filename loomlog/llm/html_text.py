@@ -4,9 +4,9 @@ Pages are cut into blocks of text by their tags; menus, headers, footers, sideba
 comments, scripts and styles are dropped by element, role, class and id. Where a page marks its
 article (`article`, `main` or that role), those blocks are its text. Blocks of pages without that
 mark are judged by a suffix array of the host: the token streams of its pages are sorted by suffix, runs of
-`long_run` tokens that occur on two and more distinct pages are found as neighbours that share them, and
-blocks which such runs cover are boilerplate. Marked articles are not judged that way, as an
-article that two pages of a host carry is still the article of both.
+`long_run` tokens that occur on at least `least_pages` distinct pages and `share` of the host's unmarked pages are found
+as neighbours that share them, and are cut out; the rest of a block stays, and a page of which nothing would be left
+stays whole. Marked articles are not judged that way, as an article that two pages of a host carry is still the article of both.
 
 Suffixes are compared up to `long_run` tokens (a 128-bit hash), so the sorted neighbours are an aggregate that
 collapses by task, and a host that holds a third of all pages is spread like any other.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomlog.llm.common import stage
 from loomlog.llm.url_filters import host_and_path
 
-LONG_RUN, COVERED = 8, 0.7
+LONG_RUN, LEAST_PAGES, SHARE = 8, 3, 0.5
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "title", "xmp", "noembed", "noframes"}
@@ -69,34 +69,30 @@ def _noise(name: str, raw: str, article: bool) -> bool:
     return bool(marks & {w for k in ("class", "id") for w in SPLIT.split(CAMEL.sub("-", html.unescape(at.get(k, ""))).lower())})
 
 
-def blocks(page: str) -> list[tuple[str, bool, float]]:
-    """(text, inside the marked article, share of its characters in links) of each block that structure leaves."""
-    out: list[tuple[str, bool, float]] = []
+def blocks(page: str) -> list[tuple[str, bool]]:
+    """(text, inside the marked article) of each block that structure leaves."""
+    out: list[tuple[str, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # (name, is noise, is article)
     parts: list[str] = []
-    noise = article = links = 0
-    linked = 0
+    noise = article = 0
 
     def end_block():
-        nonlocal parts, linked
+        nonlocal parts
         text = " ".join("".join(parts).split())
         if text:
-            out.append((text, article > 0, linked / max(len("".join(parts)), 1)))
-        parts, linked = [], 0
+            out.append((text, article > 0))
+        parts = []
 
     def say(raw: str):
-        nonlocal linked
         if raw and not noise:
-            text = html.unescape(raw)
-            parts.append(text)
-            linked += len(text) if links else 0
+            parts.append(html.unescape(raw))
 
     def pop():
-        nonlocal noise, article, links
+        nonlocal noise, article
         name, bad, main = open_.pop()
         if name not in INLINE:
             end_block()
-        noise, article, links = noise - bad, article - main, links - (name == "a")
+        noise, article = noise - bad, article - main
 
     at, size = 0, len(page)
     while at < size:
@@ -142,7 +138,7 @@ def blocks(page: str) -> list[tuple[str, bool, float]]:
         bad = _noise(name, m[3], article > 0)
         main = not noise and (name in ("article", "main") or "role=\"main\"" in m[3])
         open_.append((name, bad, main))
-        noise, article, links = noise + bad, article + main, links + (name == "a")
+        noise, article = noise + bad, article + main
     while open_:
         pop()
     end_block()
@@ -163,29 +159,44 @@ def _cut(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
                 yield part[["i", "url", "host"]].assign(
                     marked=marked,
                     text=["\n\n".join(x[0] for x in page if x[1]) if m else "" for page, m in zip(found, marked)],
-                    blocks=[[] if m else [x[0] for x in page if x[2] < 0.6] for page, m in zip(found, marked)],
+                    blocks=[[] if m else [x[0] for x in page] for page, m in zip(found, marked)],
                 )
 
     cut = rows.mapInPandas(work, "i long, url string, host string, marked boolean, text string, blocks array<string>")
     return stage(cut.withColumn("row", F.monotonically_increasing_id()), "blocks")
 
 
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long_run: int = LONG_RUN, covered: float = COVERED) -> DataFrame:
+def _uncovered(page: list[str], at: list[int], long_run: int) -> list[str]:
+    """The blocks without the tokens of the runs that start at `at`; all of them where nothing would be left."""
+    covered = {k for a in at for k in range(a, a + long_run)}
+    out, k = [], 0
+    for block in page:
+        tokens = block.split(" ")
+        if rest := [t for n, t in enumerate(tokens, k) if n not in covered]:
+            out.append(" ".join(rest))
+        k += len(tokens)
+    return out or page
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", long_run: int = LONG_RUN, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """(id, url, text) of each page."""
     cut = _cut(pages, id_col, url_col, html_col)
     unmarked = cut.where("not marked")
-    tokens = unmarked.select("row", "i", "host", F.posexplode("blocks").alias("k", "block")).withColumn("w", F.split("block", " "))
-    size = F.size("w")
-    # suffixes of the token streams, as far as they are compared; a short block is compared whole, with its ends
-    starts = F.sequence(F.lit(0), F.greatest(size - long_run, F.lit(0)))
-    suffixes = tokens.select("row", "i", "host", "k", size.alias("n"), F.posexplode(F.transform(starts, lambda s: F.md5(F.concat_ws(" ", F.slice("w", s + 1, long_run), F.when(size < long_run, F.lit("\n")))))).alias("at", "suffix"))
     page = F.coalesce(F.col("i"), F.col("row"))
-    repeated = stage(suffixes.groupBy("host", "suffix").agg(F.min(page).alias("a"), F.max(page).alias("b")).where("a <> b").select("host", "suffix"), "repeated")
-    hits = suffixes.join(repeated, ["host", "suffix"], "left_semi")
-    spans = F.sort_array(F.collect_set("at"))
-    # tokens covered by the runs that start at the places of `at`
-    reach = F.aggregate(spans, F.struct(F.lit(0).alias("to"), F.lit(0).alias("n")), lambda acc, s: F.struct(F.greatest(acc["to"], s + long_run).alias("to"), (acc["n"] + s + long_run - F.greatest(acc["to"], s)).alias("n")))
-    bad = hits.groupBy("row", "k").agg(F.first("n").alias("n"), reach["n"].alias("c")).where(F.least("c", "n") >= F.lit(covered) * F.col("n")).groupBy("row").agg(F.collect_set("k").alias("bad"))
-    kept = unmarked.join(bad, "row", "left").select("i", "url", F.concat_ws("\n\n", F.when(F.col("bad").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b, k: ~F.array_contains("bad", k)))).alias("text"))
+    words = F.flatten(F.transform("blocks", lambda b: F.split(b, " ")))
+    streams = unmarked.select("row", page.alias("page"), "host", words.alias("w"))
+    # suffixes of the token streams, as far as they are compared
+    starts = F.sequence(F.lit(0), F.size("w") - long_run)
+    suffixes = streams.where(F.size("w") >= long_run).select("row", "page", "host", F.posexplode(F.transform(starts, lambda s: F.md5(F.concat_ws(" ", F.slice("w", s + 1, long_run))))).alias("at", "suffix"))
+    sizes = streams.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    seen = suffixes.select("host", "suffix", "page").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    repeated = stage(seen.join(sizes, "host").where(F.col("n") >= F.lit(share) * F.col("all")).select("host", "suffix"), "repeated")
+    hits = suffixes.join(repeated, ["host", "suffix"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("at"))
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["i", "url"]].assign(text=["\n\n".join(_uncovered(list(x), [] if at is None else list(at), long_run)) for x, at in zip(b["blocks"], b["at"])])
+
+    kept = unmarked.join(hits, "row", "left").select("i", "url", "blocks", "at").mapInPandas(work, "i long, url string, text string")
     out = cut.where("marked").select("i", "url", "text").unionByName(kept)
     return out.select(F.col("i").alias(id_col), F.col("url").alias(url_col), "text")

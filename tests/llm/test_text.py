@@ -81,6 +81,16 @@ def test_html_host_boilerplate(spark):
     assert got[9].startswith("you are reading") and got[20] == got[22] == words[0]
 
 
+def test_html_keeps_what_is_unique(spark):
+    """Of unmarked pages only runs go that many pages of the host carry; the rest of their blocks, short headings, links and copied articles stay."""
+    shell, article = "these eight words stand on each page here", "a copied article of ten words that two pages carry"
+    pages = [(i, f"http://a.org/{i}", f"<div>{shell} own{i} text{i} here{i}</div><h2>Introduction</h2><p><a href='/x'>a link {i}</a></p>") for i in range(4)]
+    pages += [(10 + i, f"http://b.org/{i}", f"<div>{article}</div>") for i in range(2)] + [(20 + i, f"http://c.org/{i}", f"<div>{article}</div>") for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"own{i} text{i} here{i}\n\nIntroduction\n\na link {i}" for i in range(4)]
+    assert {got[i] for i in (10, 11, 20, 21, 22, 23)} == {article}
+
+
 def test_archives_round_trip(spark):
     html = ["<p>é</p>", "", None, "<p>é</p>", "x\r\n\r\nWARC/1.1\r\nfiledesc://", "<p>é</p>", "", "y" * 5000]
     urls = ["http://a/ü x", None, "", "http://b", "http://c\n", "http://a", "u", "v"]
