@@ -1,14 +1,13 @@
-"""The main text of web pages, by structure and a suffix array of each host.
+"""The main text of web pages, by structure and the repeated token runs of each host.
 
 Pages are cut into blocks of text by their tags; menus, headers, footers, sidebars, notices, adverts, forms,
 comments, scripts and styles are dropped by element, role, class and id. Where a page marks its
 article (`article`, `main` or that role), those blocks are its text. Blocks of pages without that
-mark are judged by a suffix array of the host: the token streams of its pages are sorted by suffix, runs of
-`long_run` tokens that occur on at least `least_pages` distinct pages and `share` of the host's unmarked pages are found
-as neighbours that share them, and are cut out; the rest of a block stays, and a page of which nothing would be left
-stays whole. Marked articles are not judged that way, as an article that two pages of a host carry is still the article of both.
+mark are judged by the host's repeats: suffixes of its pages' token streams are grouped by a hash, runs of
+`long_run` tokens that occur on at least `least_pages` distinct pages and `share` of the host's unmarked pages are cut out;
+the rest of a block stays, and a page of which nothing would be left stays whole. Marked articles are not judged that way, as an article that two pages of a host carry is still the article of both.
 
-Suffixes are compared up to `long_run` tokens (a 128-bit hash), so the sorted neighbours are an aggregate that
+There is no suffix array: suffixes are compared up to `long_run` tokens only (a 128-bit hash), which is an aggregate that
 collapses by task, and a host that holds a third of all pages is spread like any other.
 
 Defined cases: a null html counts as empty and has the text ""; broken markup is read as far as it
