@@ -10,16 +10,16 @@ verified by Hamming distance in the task that holds the file, which passes on a
 each piece, never all pairs. Components of these links give the groups.
 
 `keep_one`, the stage of a pipeline, links rows whose sets of five-word shingles have a Jaccard similarity of at least 0.8. Such
-pairs differ in ten bits or so, and blocks wide enough for that would be three bits each. Rows are filed instead under a fifth of their
-shingles, the rarest first (any two similar sets share one of those, whatever the order, so nothing is lost);
-pairs of a file are sieved by the SimHash of the sets, within 26 bits, and verified exactly.
+pairs differ in ten bits or so, and blocks narrow enough for a pigeonhole would be three bits each, which tell nothing apart. The
+blocks are those of another fingerprint of the sets: 32 of four minima each, under other orders of the shingles. Sets of similarity 0.8 share none of
+them once in 20 million times, more similar ones less often. Pairs of a file are sieved by the SimHash of the sets, within 26 bits, and
+verified exactly.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other; shorter texts
 than one shingle are hashed whole; a null id never becomes a component id unless its whole component
 has none; repeated rows each get a row; an empty table gives an empty result.
 """
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,7 +35,7 @@ from loomlog.llm.components import components
 
 BLOCKS, RADIUS, LEVELS = 6, 3, 3
 #: Of `keep_one`.
-NEAR_WORDS, SIMILARITY, NEAR_RADIUS = 5, 0.8, 26
+NEAR_WORDS, SIMILARITY, NEAR_RADIUS, KEYS, MINIMA = 5, 0.8, 26, 32, 4
 
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
@@ -195,18 +195,24 @@ def _set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _common(rows: DataFrame, words: int, share: int = 16, least: int = 4, most: int = 1 << 17) -> np.ndarray:
-    """Shingles that are frequent in a sample of the texts, the rarest of them first; only an order of shingles depends on it."""
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    """The fixed numbers of the 128 orders by which minima are taken."""
+    rng = np.random.default_rng(0)
+    return rng.integers(0, 1 << 64, KEYS * MINIMA, np.uint64), rng.integers(0, 1 << 64, KEYS * MINIMA, np.uint64) | np.uint64(1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                found = [_shingle_set(t.as_py() or "", words) for t in b.column(0)[i : i + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
 
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(work, "s long")
-    found = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).collect()
-    return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
+def set_keys(hashes: np.ndarray, orders: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The KEYS blocks under which a set is filed, each of MINIMA minima of the set's hashes."""
+    low = np.full(KEYS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        mixed = (hashes[i : i + 2048, None] ^ orders[0]) * orders[1]
+        np.minimum(low, (mixed ^ (mixed >> np.uint64(32))).min(0), out=low)
+    low = low.reshape(KEYS, MINIMA)
+    out = np.arange(KEYS, dtype=np.uint64)
+    for k in range(MINIMA):
+        out = (out ^ low[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -234,13 +240,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def _pairs(files: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """(a, b): pairs of a file's rows that can be similar, are of different pieces so far and do not hold its first row."""
+    """(a, b): pairs of a file's rows (of its two parts, where it is cut) that can be similar and are of different pieces so far."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in batch.column(0):
                 n, fp, size, root = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in ("n", "fp", "size", "root"))
-                order = np.argsort(n)[1:]
+                order = np.argsort(n)
                 n, fp, size, root = n[order], fp[order].view(np.uint64), size[order], root[order]
                 for i in range(0, len(n), 256):
                     to = slice(i, i + 256)
@@ -252,24 +258,40 @@ def _pairs(files: DataFrame, similarity: float, radius: int) -> DataFrame:
     return files.select("rows").mapInArrow(work, "a long, b long")
 
 
-def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of rows that are similar.
+def _open(filed: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of files that are of several pieces by the links found, with their piece's root and the file's size."""
+    roots = components(found).withColumnRenamed("node", "n")
+    pieces = stage(filed.join(roots, "n", "left").select("s", "n", "fp", "size", F.coalesce("root", "n").alias("root")), "pieces")
+    several = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("n", "fp", "size", "root")).alias("low"), F.count(F.lit(1)).alias("m"))
+    return pieces.join(stage(several.where("x <> y").select("s", "low", "m"), "open-files"), "s")
+
+
+def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, group: int = 1024) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of rows that are similar and share a file.
 
-    numbered has n, fp, size and prefix (the shingles by which a row is filed). Each file is first compared with its first row,
-    which settles a crowd of near copies by one comparison a row; then pairs that are still of different pieces are.
+    numbered has n, fp, size and keys (the blocks by which a row is filed). First each row is compared with the smallest row of all
+    its files, which settles a crowd of near copies by one comparison a row; then rows of files that are still of several
+    pieces are compared with their files' first rows, and then all pairs of different pieces are. A file of more than `group`
+    rows is cut into parts, and each two parts go to a task of their own.
     """
-    filed = numbered.select(F.explode("prefix").alias("s"), "n", "fp", "size")
+    filed = numbered.select(F.explode("keys").alias("s"), "n", "fp", "size")
     lows = stage(filed.groupBy("s").agg(F.min(F.struct("n", "fp", "size")).alias("low"), F.max("n").alias("high")).where("low.n <> high").select("s", "low"), "shared")
     shared = stage(filed.join(lows, "s"), "filed")
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("low.fp"))) <= radius) & (F.least("size", "low.size") >= similarity * F.greatest("size", "low.size") - 1e-9)
-    first = stage(shared.where((F.col("n") != F.col("low.n")) & close).select(F.col("n").alias("a"), F.col("low.n").alias("b")).distinct(), "first-pairs")
+    first = stage(shared.where((F.col("n") != F.col("low.n")) & close).groupBy(F.col("n").alias("a")).agg(F.min("low.n").alias("b")), "first-pairs")
     found = stage(_verified(first, texts, words, similarity), "first-links")
-    roots = components(found)
-    pieces = stage(shared.select("s", "n", "fp", "size").join(roots.withColumnRenamed("node", "n"), "n", "left").select("s", "n", "fp", "size", F.coalesce("root", "n").alias("root")), "pieces")
-    # a file that is one piece by now is settled
-    open_ = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y and m > 2").select("s")
-    files = pieces.join(open_, "s", "left_semi").groupBy("s").agg(F.collect_list(F.struct("n", "fp", "size", "root")).alias("rows"))
-    rest = stage(_pairs(files, similarity, radius).distinct(), "other-pairs")
+    apart = _open(shared.select("s", "n", "fp", "size"), found)
+    more = stage(apart.where((F.col("root") != F.col("low.root")) & close).select(F.col("n").alias("a"), F.col("low.n").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
+    found = found.unionAll(stage(_verified(more, texts, words, similarity), "more-links"))
+    # a pair of rows only is settled by now
+    apart = _open(apart.where("m > 2").select("s", "n", "fp", "size"), found)
+    parts = F.ceil(F.col("m") / group).cast("int")
+    own = F.pmod(F.xxhash64("n"), parts).cast("int")
+    others = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
+    dealt = apart.select("s", F.struct("n", "fp", "size", "root").alias("row"), own.alias("own"), others).select("s", "row", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    files = dealt.groupBy("s", "i", "j").agg(F.collect_list("row").alias("rows"))
+    tried = first.unionAll(more)
+    rest = stage(_pairs(files, similarity, radius).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
     return found.unionAll(stage(_verified(rest, texts, words, similarity), "other-links"))
 
 
@@ -281,28 +303,23 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     judged each; of rows that tie on the smallest id one stays. Rows come back with the columns of docs.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("n"))
-    made = [StructField("fp", LongType()), StructField("size", LongType()), StructField("prefix", ArrayType(LongType()))]
+    made = [StructField("fp", LongType()), StructField("size", LongType()), StructField("keys", ArrayType(LongType()))]
     schema = StructType([f for f in rows.schema if f.name != "text"] + made)
-    common = _common(rows, words)
-    sent = docs.sparkSession.sparkContext.broadcast((np.sort(common), np.argsort(common)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = sent.value
+        orders = _multipliers()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 b = batch.slice(i, 500)
-                fps, sizes, prefixes = [], [], []
+                fps, sizes, keys = [], [], []
                 for t in b.column(2):
                     h = _shingle_set(t.as_py() or "", words)
                     fps.append(_set_fingerprint(h))
                     sizes.append(len(h))
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        h = h[np.argsort(np.where(known[at] == h, rank[at], -1), kind="stable")]
-                    prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+                    keys.append(set_keys(h, orders).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["row", "id", "n", "fp", "size", "prefix"],
+                    [b.column(0), b.column(1), b.column(3), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["row", "id", "n", "fp", "size", "keys"],
                 )
 
     numbered = stage(rows.mapInArrow(work, schema), "numbered")
