@@ -5,11 +5,13 @@ by encoded length, and suffix sums over the lengths answer every context limit a
 documents and tokens are longer, and what is left of the corpus when each document is cut there.
 
 Defined cases: null and empty texts have length 0 and are counted; an empty table gives an empty
-histogram; repeated rows count each time; other columns are not read.
+histogram; repeated rows count each time; a run of white space of any length is encoded (see `encoder`); other columns are
+not read. The vocabulary is a file that each executor has, or `vocabulary` names one that it has.
 """
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,15 +22,39 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 
 
+#: White space as the pattern means it, in runs that the pattern's own matcher cannot look through.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}+")
+
+
+def encoder(vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> Callable[[str], list[int]]:
+    """The tokens of a whole text.
+
+    With PATTERN, a long run of white space is cut out before: all but its last character is one piece of its own there (all of it at
+    the end of a text), and what is before and after it is cut the same alone, so the tokens are those of the whole text.
+    """
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    coder = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for space in LONG_SPACE.finditer(text) if pattern == PATTERN else ():
+            stop = space.end() - (space.end() < len(text))
+            out += coder.encode_ordinary(text[at : space.start()])
+            out += coder._core_bpe.encode_single_piece(text[space.start() : stop].encode())
+            at = stop
+        return out + coder.encode_ordinary(text[at:]) if out else coder.encode_ordinary(text[at:])
+
+    return encode
+
+
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(id, n_tokens) of each document; every text is encoded whole."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encode = encoder(vocabulary, pattern)
         for batch in batches:
             lengths = [len(encode(text.as_py() or "")) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64())], ["id", "n_tokens"])
