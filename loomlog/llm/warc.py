@@ -136,15 +136,16 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _archives(rows: DataFrame, path: str, make, archive_bytes: int) -> str:
-    """Write one file an archive; make(batch rows) yields (start of an archive, records)."""
+    """Write one file an archive; make(row, place in the archive) gives a record, and the start of an archive for no row."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for b in batches:
             for row in b.itertuples(index=False):
                 if not held:
-                    held, size = [make(None, 0)], 0
-                held.append(make(row, sum(map(len, held)) if make.offsets else 0))
+                    held = [make(None, 0)]
+                    size = len(held[0])
+                held.append(make(row, size))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield pd.DataFrame({"value": [b"".join(held).decode()]})
@@ -160,16 +161,13 @@ def write_arc(pages: DataFrame, path: str, version: int, id_col: str = "page_id"
     """Write pages as ARC files of the version; returns the path."""
     name = f"loomlog-v{version}.arc"
 
-    class Make:
-        offsets = version == 2
-
-        def __call__(self, row, offset):
-            if row is None:
-                return arc_start(version, name)
-            return arc_record(version, name, offset, row.url, None if pd.isna(row.i) else int(row.i), (row.html or "").encode())
+    def make(row, offset):
+        if row is None:
+            return arc_start(version, name)
+        return arc_record(version, name, offset, row.url, None if pd.isna(row.i) else int(row.i), (row.html or "").encode())
 
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return _archives(rows, path, Make(), archive_bytes)
+    return _archives(rows, path, make, archive_bytes)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -204,21 +202,18 @@ def to_warc(records: DataFrame, path: str, smallest_payload: int = 0, archive_by
     Of records with equal payloads of at least `smallest_payload` bytes, that with the smallest
     page_id is the response; the others revisit it.
     """
-    repeated = records.where(F.col("payload_bytes") >= smallest_payload).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeated = records.where(F.col("payload_bytes") >= smallest_payload).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     firsts = stage(repeated, "first-records")  # written, so that the join below can be split where one payload is hot
-    rows = records.join(firsts, "payload_digest", "left").select("url", "date", "page_id", "payload", "payload_bytes", "payload_digest", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= smallest_payload)).alias("again"), "first_id")
-
-    class Make:
-        offsets = False
+    rows = records.join(firsts, ["payload_digest", "payload_bytes"], "left").select("url", "date", "page_id", "payload", "payload_bytes", "payload_digest", (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= smallest_payload)).alias("again"), "first_id")
 
-        def __call__(self, row, offset):
-            if row is None:
-                info = b"software: loomlog\r\nformat: WARC File Format 1.1\r\n"
-                return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, 'info')}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"
-            number = lambda x: None if pd.isna(x) else int(x)
-            return warc_record("revisit" if row.again else "response", quote(row.url, safe=":/?#[]@!$&()*+,;=%~") if row.url else "-", number(row.page_id), row.payload.encode(), row.payload_digest, row.date, number(row.first_id))
+    def make(row, offset):
+        if row is None:
+            info = b"software: loomlog\r\nformat: WARC File Format 1.1\r\n"
+            return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(SPACE, 'info')}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n"
+        number = lambda x: None if pd.isna(x) else int(x)
+        return warc_record("revisit" if row.again else "response", quote(row.url, safe=":/?#[]@!$&()*+,;=%~") if row.url else "-", number(row.page_id), row.payload.encode(), row.payload_digest, row.date, number(row.first_id))
 
-    return _archives(rows, path, Make(), archive_bytes)
+    return _archives(rows, path, make, archive_bytes)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
