@@ -1,22 +1,28 @@
 """Find documents that hold passages of a benchmark.
 
-Windows of an item's size slide over the words of each whole document. A window's SimHash is made
-from its weighted word shingles, and blocks of the items' fingerprints form a multi-index: fingerprints within
-`radius` bits agree on one of radius + 1 blocks, so a lookup by blocks finds every item in the
-radius. Candidates are verified by exact weighted-shingle similarity.
-
-Only windows with at least one shingle of the items are fingerprinted; no other window can have a
-similarity above zero. Everything happens where the document is read: nothing is shuffled, and a
-passage that a third of all documents hold costs each of them its own windows only. The items travel to the
-tasks in slices of at most `slice_items` items and SLICE_BYTES of text (or one longer item), one pass over the documents
-a slice, so what is broadcast is bounded.
+Windows of an item's size slide over the words of each whole document. Windows that can reach the similarity get a SimHash of their
+weighted word shingles, and meet the items of their size whose fingerprints lie within `radius` bits. Candidates are
+verified by exact weighted-shingle similarity.
+
+1. A sieve, a bitmap of the items' shingles of at most SIEVE bits (16 MB), alone and with their item's size, goes to every task. A window
+   of n shingles that is similar to an item of n shares 2 n s / (1 + s) of them with it (89 % at s = 0.8), so a window
+   with fewer in the sieve is left out: nothing is lost, and a full sieve only lets more through.
+2. Windows are told apart by their shingles: each content is kept once a task and joined once, so a passage that a third of all
+   documents hold is judged a few times, and equal texts are judged once.
+3. Contents and items are joined in Spark by size. The multi-index: a fingerprint is 32 blocks of two bits; two that differ in at most
+   `radius` bits agree on at least 32 - radius of them, which is counted on all blocks of a pair at once. An index by single
+   blocks does not tell apart at the radius that a similarity of 0.8 needs (a random lookup meets 99 of 100 items).
+
+Items never pass through the driver, which holds the sieve and the list of the items' sizes, and the documents are read once however many items
+there are.
 
 Words are runs of letters, digits and underscores, in lower case. Defined cases: null and empty texts match nothing; items
-with fewer words than a shingle (five) have none and match nothing; of equal items each matches;
-repeated rows each match; null ids of items are kept; an empty table on either side gives an empty
-result; other columns are not read.
+with fewer words than a shingle (five) have none and match nothing; of equal items each matches; a document shorter than an
+item is one window; repeated rows each match; null ids are kept; of windows that tie the first counts; an empty table on either side
+gives an empty result; other columns are not read. Ids are cast to long.
 """
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.llm.common import stage
+
 WORD = re.compile(r"\w+")
-SHINGLE, SIMILARITY, RADIUS, SLICE, SLICE_BYTES = 5, 0.8, 24, 20_000, 32 << 20
+SHINGLE, SIMILARITY, RADIUS, SIEVE = 5, 0.8, 20, 1 << 27
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -72,139 +80,168 @@ def weighted_similarity(a: Counter, b: Counter) -> float:
     return both / every if every else 0.0
 
 
-def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which values are in `known`, which is sorted and not empty."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-
-
-class Items:
-    """The benchmark's items by window size, with their block index."""
-
-    def __init__(self, rows: list[tuple], shingle: int, similarity: float, radius: int):
-        self.shingle, self.similarity, self.radius = shingle, similarity, radius
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << (b - a)) - 1)) for a, b in zip(edges.tolist(), edges[1:].tolist())]
-        self.by_size: dict[int, dict] = {}
-        every = []
-        for item_id, text in rows:
-            tokens = words(text or "")
-            h = shingle_hashes(tokens, shingle)
-            if len(h):
-                every.append(h)
-                of = self.by_size.setdefault(len(h), {"ids": [], "bags": [], "fps": [], "shingles": []})
-                of["ids"].append(item_id)
-                of["bags"].append(Counter(h.tolist()))
-                of["fps"].append(packed(bits(h).sum(0, keepdims=True))[0])
-                of["shingles"].append(np.unique(h))
-        self.vocabulary = np.unique(np.concatenate(every)) if every else np.empty(0, np.uint64)
-        self.sieve = np.zeros(1 << 22, bool)
-        self.sieve[(self.vocabulary & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        for of in self.by_size.values():
-            of["fps"] = np.array(of["fps"], np.uint64)
-            of["shingles"] = np.unique(np.concatenate(of["shingles"]))
-            of["index"] = []
-            for shift, mask in self.blocks:
-                files: dict[int, list[int]] = {}
-                for k, value in enumerate(((of["fps"] >> shift) & mask).tolist()):
-                    files.setdefault(value, []).append(k)
-                of["index"].append({v: np.array(k) for v, k in files.items()})
-
-    def near(self, of: dict, fp: np.uint64) -> np.ndarray:
-        """The items that agree with fp on a block and lie within the radius."""
-        found = [files[v] for (shift, mask), files in zip(self.blocks, of["index"]) if (v := int((fp >> shift) & mask)) in files]
-        if not found:
-            return np.empty(0, np.int64)
-        found = np.unique(np.concatenate(found))
-        return found[np.bitwise_count(of["fps"][found] ^ fp) <= self.radius]
-
-    def matches(self, text: str, known: dict[str, int] | None = None) -> list[tuple]:
-        """(item, similarity, first word, words) of the best window of each item that the text holds."""
-        h = shingle_hashes(words(text), self.shingle, known)
-        hit = np.nonzero(self.sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])[0]
-        out = []
-        if not len(hit):
-            return out
-        hit = hit[among(h[hit], self.vocabulary)]
-        if not len(hit):
-            return out
-        for n, of in self.by_size.items():
-            own = hit[among(h[hit], of["shingles"])]
-            if not len(own):
-                continue
-            best: dict[int, tuple] = {}
-            # windows are judged by runs of places whose windows can overlap
-            for run in np.split(own, np.nonzero(np.diff(own) > n)[0] + 1):
-                first, stop = max(int(run[0]) - n + 1, 0), min(int(run[-1]) + n, len(h))
-                size = min(n, stop - first)
-                for begin in range(first, stop, 65536):
-                    end = min(begin + 65536 + size - 1, stop)
-                    if end - begin < size:
-                        break
-                    part = h[begin:end]
-                    sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits(part), axis=0, dtype=np.int32)))
-                    held = np.concatenate(([0], np.cumsum(among(part, of["shingles"]))))
-                    with_hit = np.nonzero(held[size:] - held[:-size] > 0)[0]
-                    for at, fp in zip(with_hit.tolist(), packed(sums[size:] - sums[:-size])[with_hit]):
-                        near = self.near(of, fp)
-                        bag = Counter(part[at : at + size].tolist()) if len(near) else None
-                        for k in near.tolist():
-                            s = weighted_similarity(bag, of["bags"][k])
-                            if s >= self.similarity and (k not in best or s > best[k][0]):
-                                best[k] = (s, begin + at, size + self.shingle - 1)
-            out += [(of["ids"][k], *x) for k, x in best.items()]
-        return out
-
-
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, slice_items: int = SLICE) -> DataFrame:
+def needed(a: int, b: int, similarity: float) -> int:
+    """How many shingles bags of a and b must share to be that similar."""
+    return math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+
+
+def sized(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of shingles together with the size of an item."""
+    out = (hashes ^ np.uint64((n * _BASE) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(_BASE)
+    return out ^ (out >> np.uint64(31))
+
+
+class Sieve:
+    """A bitmap of hashes, which may say yes to others too."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(8 * len(bits) - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes & self.mask
+        return (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def windows(h: np.ndarray, sieve: Sieve, sizes: list[int], similarity: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(item size, window size, starts) of the windows that can be similar to an item of that size."""
+    hit = np.nonzero(sieve.has(h))[0]
+    for n in sizes:
+        size = min(n, len(h))
+        least = needed(n, size, similarity)
+        if least > size or len(hit) < least:
+            continue
+        own = hit[sieve.has(sized(h[hit], n))]
+        if len(own) < least:
+            continue
+        held = np.zeros(len(h) + 1, np.int64)
+        held[own + 1] = 1
+        np.cumsum(held, out=held)
+        starts = np.nonzero(held[size:] - held[:-size] >= least)[0]
+        if len(starts):
+            yield n, size, starts
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, shingle: int) -> DataFrame:
+    """(item, n, fp, bag) of each item; bag holds its shingles in order of their hash, repeats included."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, h) for i, t in zip(b.column(0).to_pylist(), b.column(1)) if len(h := shingle_hashes(words(t.as_py() or ""), shingle))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in found], pa.int64()), pa.array([len(h) for _, h in found], pa.int32()), pa.array([_fp(h) for _, h in found], pa.int64()), pa.array([np.sort(h).view(np.int64) for _, h in found], pa.list_(pa.int64()))],
+                ["item", "n", "fp", "bag"],
+            )
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text"))
+    return stage(rows.mapInArrow(work, "item long, n int, fp long, bag array<long>"), "items")
+
+
+def _fp(h: np.ndarray) -> int:
+    """The SimHash of a window as a signed number."""
+    sums = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
+        sums += bits(h[i : i + 65536]).sum(0)
+    return int(packed(sums[None, :]).view(np.int64)[0])
+
+
+def _sieve(items: DataFrame, most: int) -> np.ndarray:
+    """The bitmap of the items' shingles, as bytes; at most `most` bits, 16 for each of two hashes a shingle."""
+    each = items.select("n", F.explode("bag").alias("h"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+            also = [sized(h[n == k], int(k)) for k in np.unique(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h, *also]).view(np.int64))], ["h"])
+
+    hashes = each.mapInArrow(both, "h long").distinct()
+    count = each.count()
+    size = min(max(1 << (32 * max(count, 1) - 1).bit_length(), 1 << 15), most)
+    place = F.col("h").bitwiseAND(F.lit(size - 1)) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros(size // 8, np.uint8)
+    for r in rows:  # at most SIEVE / 32768 of them
+        out[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, shingle: int, similarity: float, radius: int, sieve_bits: int) -> DataFrame:
+    """(key, item, similarity, first_word, n_words): the best window of each item in each distinct text, named by its md5."""
+    spark = docs.sparkSession
+    items = _items(benchmark, item_col, item_text_col, shingle)
+    sizes = sorted(r.n for r in items.select("n").distinct().collect())  # one number for each length of item
+    sent = spark.sparkContext.broadcast((_sieve(items, sieve_bits), sizes))
+    names = ["key", "c", "n", "size", "at", "fp", "bag"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        sieve, known, met, texts = Sieve(sent.value[0]), {}, set(), set()
+        rows: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 7, kinds)], names)
+
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if key in texts:
+                    continue
+                h = shingle_hashes(words(text.as_py()), shingle, known)
+                first = True
+                for n, size, starts in windows(h, sieve, sent.value[1], similarity) if len(h) else ():
+                    if first and len(texts) < 1_000_000:
+                        texts.add(key)  # equal texts hold the same windows
+                    first, seen = False, set()
+                    for at in starts.tolist():
+                        bag = np.sort(h[at : at + size])
+                        c = int(np.uint64(xxhash.xxh3_64_intdigest(bag.tobytes(), n)).view(np.int64))
+                        if c in seen:
+                            continue
+                        seen.add(c)
+                        new = c not in met
+                        if len(met) < 1_000_000:
+                            met.add(c)
+                        rows.append((key, c, n, size, at, _fp(bag) if new else None, bag.view(np.int64) if new else None))
+                        if len(rows) >= 2000:
+                            yield made()
+                            rows = []
+        yield made()
+
+    text = F.col(text_col).cast("string")
+    rows = docs.where(text.isNotNull()).select(F.md5(text).alias("key"), text.alias("text"))
+    found = stage(rows.mapInArrow(work, "key string, c long, n int, size int, at long, fp long, bag array<long>"), "windows")
+    contents = found.where("bag is not null").groupBy("c", "n").agg(F.first(F.struct("fp", "bag")).alias("x")).select("c", "n", "x.fp", "x.bag")
+    salts = 8  # items are few beside the windows of a size
+    left = contents.withColumn("salt", F.pmod("c", F.lit(salts)))
+    right = items.select("item", F.col("n").alias("m"), F.col("fp").alias("of"), F.col("bag").alias("its"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("on"))
+    apart = F.col("fp").bitwiseXOR(F.col("of"))
+    blocks = F.bit_count(apart.bitwiseOR(F.shiftrightunsigned(apart, 1)).bitwiseAND(F.lit(0x5555555555555555)))  # that differ
+    near = left.join(right, (F.col("n") == F.col("m")) & (F.col("salt") == F.col("on")) & (blocks <= radius) & (F.bit_count(apart) <= radius))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            said = [weighted_similarity(Counter(x), Counter(y)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(said, pa.float64())], ["c", "n", "item", "similarity"]).filter(pa.array([x >= similarity for x in said], pa.bool_()))
+
+    same = stage(near.select("c", "n", "item", "bag", "its").mapInArrow(verify, "c long, n int, item long, similarity double"), "contents-found")
+    best = F.max(F.struct("similarity", (-F.col("at")).alias("at"), "size")).alias("x")
+    held = found.select("key", "c", "n", "size", "at").join(same, ["c", "n"]).groupBy("key", "item").agg(best)
+    return held.select("key", "item", "x.similarity", (-F.col("x.at")).alias("first_word"), (F.col("x.size") + shingle - 1).cast("long").alias("n_words"))
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, sieve_bits: int = SIEVE) -> DataFrame:
     """(id, item id, similarity, first_word, n_words): the best window of each item in each document."""
-    return _each_slice(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("text")), benchmark, item_col, item_text_col, shingle, similarity, radius, slice_items).select(
-        F.col("d").alias(id_col), F.col("item").alias(item_col), "similarity", "first_word", "n_words"
-    )
-
-
-def _slices(benchmark: DataFrame, item_col: str, item_text_col: str, slice_items: int) -> Iterator[list[tuple]]:
-    """Bounded lists of items; the driver holds one at a time."""
-    rows: list[tuple] = []
-    size = 0
-    for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).toLocalIterator():
-        more = len((r[1] or "").encode("utf-8", "surrogatepass"))
-        if rows and (len(rows) >= slice_items or size + more > SLICE_BYTES):
-            yield rows
-            rows, size = [], 0
-        rows.append((r[0], r[1]))
-        size += more
-    if rows:
-        yield rows
-
-
-def _each_slice(docs, benchmark, item_col, item_text_col, shingle, similarity, radius, slice_items) -> DataFrame:
-    out = None
-    schema = "d long, item long, similarity double, first_word long, n_words long"
-    for rows in _slices(benchmark, item_col, item_text_col, slice_items):
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, known = Items(sent.value, shingle, similarity, radius), {}
-            for b in batches:
-                found = [(d.as_py(), *m) for d, text in zip(b.column(0), b.column(1)) if text.is_valid for m in items.matches(text.as_py(), known)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found) if found else ((),) * 5, kinds)], ["d", "item", "similarity", "first_word", "n_words"])
-
-        part = docs.mapInArrow(work, schema)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, slice_items: int = SLICE) -> DataFrame:
-    """The documents that hold no item; one pass a slice of items, no shuffle."""
-    for rows in _slices(benchmark, item_col, item_text_col, slice_items):
-        sent = docs.sparkSession.sparkContext.broadcast(rows)
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items, known = Items(sent.value, shingle, similarity, radius), {}
-            for b in batches:
-                keep = [not (t.is_valid and items.matches(t.as_py(), known)) for t in b.column(b.schema.get_field_index(text_col))]
-                yield b.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+    held = _matches(docs, benchmark, text_col, item_col, item_text_col, shingle, similarity, radius, sieve_bits)
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.md5(F.col(text_col).cast("string")).alias("key"))
+    return rows.join(stage(held, "matches"), "key").select(F.col("d").alias(id_col), F.col("item").alias(item_col), "similarity", "first_word", "n_words")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, sieve_bits: int = SIEVE) -> DataFrame:
+    """The documents that hold no item, with their columns; the texts that hold one are joined away by their md5."""
+    held = _matches(docs, benchmark, text_col, item_col, item_text_col, shingle, similarity, radius, sieve_bits)
+    own = "__key"
+    while any(c.lower() == own for c in docs.columns):
+        own = f"_{own}"
+    gone = stage(held.select(F.col("key").alias(own)).distinct(), "held")
+    return docs.withColumn(own, F.md5(F.col(text_col).cast("string"))).join(gone, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

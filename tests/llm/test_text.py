@@ -158,8 +158,8 @@ def test_decontamination_matches_brute_force(spark):
     docs = spark.createDataFrame([(i, t, 0.5) for i, t in enumerate(texts)], "doc_id long, text string, similarity double")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {(i, k): s for i, t in enumerate(texts) for k, s in slow_matches(t, items).items()}
-    for slice_items in (20_000, 5):
-        got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontamination.find_matches(docs, bench, slice_items=slice_items).collect()}
+    for sieve_bits in (1 << 27, 1 << 15):
+        got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontamination.find_matches(docs, bench, sieve_bits=sieve_bits).collect()}
         assert got == want
     clean = decontamination.clean_documents(docs, bench)
     assert clean.columns == docs.columns
