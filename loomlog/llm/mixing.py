@@ -3,29 +3,29 @@
 1. A classifier learned from a table of labelled documents gives each document a posterior over the
    domains: multinomial naive Bayes over hashed words, as one lookup table of log-likelihoods a domain.
 2. Projected-gradient least squares finds a rate r >= `lowest` for every document, such that the
-   expected tokens of each domain, sum(r * tokens * posterior), match the targets. The gradient is taken
-   in the metric of the documents' tokens, so a rate depends on a document's posterior and not on its
-   length. Rates stay a column: each pass over the documents returns one number a domain to the driver.
+   expected tokens of each domain, sum(r * tokens * posterior), match the targets. A rate depends on a document's
+   posterior and not on its length. Rates stay a column: each pass over the documents returns one number a domain to the driver.
+   Targets that no rates meet are warned of, with the gap of each domain.
 3. A rate is turned into whole copies by a hash of the id and the text, whose expectation is the rate.
 
-Built-in functions only. The classifier is fitted on at most `max_labelled` labelled documents, those
+Built-in functions only; tokens are words between white space, as no encoder is built in. The classifier is fitted on at most `max_labelled` labelled documents, those
 with the smallest id hash; everything else covers all rows.
 
 Defined cases: a null text counts as empty and has no tokens, the prior as posterior and its rate like
-any other; domains that are null, or beyond `max_domains` of the largest, join no domain of their own (documents are
-still scored); targets for unknown domains are refused; repeated rows are equal documents; an empty
+any other; labels of a null domain are left out (documents are
+still scored); of posteriors that tie the first domain in order is `domain`; targets for unknown domains are refused; repeated rows are equal documents; an empty
 table gives an empty result; columns of the documents that are named like the new ones give way to them.
 """
 
 import math
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import stage
 
-BUCKETS, MAX_LABELLED, MAX_DOMAINS = 8192, 20_000, 16
+BUCKETS, MAX_LABELLED = 8192, 20_000
 WHITE = r"[\x20\x09-\x0D]+"
 NEW = ("n_tokens", "posterior", "domain", "rate", "copies")
 
@@ -38,15 +38,15 @@ def _bucket(word):
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def learn_tables(docs: DataFrame, labels: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_domains: int = MAX_DOMAINS) -> dict[str, tuple[float, list[float]]]:
+def learn_tables(docs: DataFrame, labels: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> dict[str, tuple[float, list[float]]]:
     """{domain: (log prior, log-likelihood of each word bucket)} from the labelled documents.
 
-    labels has the id and the domain. At most max_domains * BUCKETS counts reach the driver.
+    labels has the id and the domain. At most BUCKETS counts a domain reach the driver; a domain has at least one of the `max_labelled` rows.
     """
     named = labels.select(F.col(id_col).alias("i"), F.col(domain_col).cast("string").alias("d")).where("i is not null and d is not null")
     chosen = named.orderBy(F.xxhash64("i"), "i", "d").limit(max_labelled)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(chosen), "i")  # at most max_labelled narrow rows
-    sizes = {r.d: r.n for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(max_domains).collect()}
+    sizes = {r.d: r.n for r in rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = rows.where(F.col("d").isin(list(sizes))).select("d", F.explode(_words("t")).alias("w")).groupBy("d", _bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     table = {d: [0.5] * BUCKETS for d in sizes}
     for r in counts.collect():
@@ -67,10 +67,10 @@ def _adding(lookup):
     return lambda acc, b: acc + F.get(lookup, b)
 
 
-def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]], text_col: str = "text", evidence: float = 2.0) -> DataFrame:
+def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]], text_col: str = "text", evidence: float | None = None) -> DataFrame:
     """docs with n_tokens and posterior (an array in the order of `tables`).
 
-    A text's mean log-likelihood counts as `evidence` words at most, which keeps memberships soft.
+    With `evidence`, a text's mean log-likelihood counts as so many words at most, which softens the memberships of long texts.
     """
     own = _own(docs)
     buckets, top, every = f"{own}_buckets", f"{own}_top", f"{own}_all"
@@ -81,7 +81,7 @@ def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]
         # one literal array, folded at planning: a lookup by place
         lookup = F.split(F.lit(",".join(f"{x:.6f}" for x in table)), ",").cast("array<double>")
         total = F.aggregate(buckets, F.lit(0.0), _adding(lookup))
-        scores[name] = F.lit(prior) + total * F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n_tokens"), F.lit(1)))
+        scores[name] = F.lit(prior) + (total if evidence is None else total * F.least(F.lit(1.0), F.lit(evidence) / F.greatest(F.col("n_tokens"), F.lit(1))))
     made = made.withColumns(scores).drop(buckets)
     made = made.withColumn(top, F.greatest(*each) if len(each) > 1 else F.col(each[0]))
     made = made.withColumns({name: F.exp(F.col(name) - F.col(top)) for name in each})
@@ -89,94 +89,89 @@ def with_posteriors(docs: DataFrame, tables: dict[str, tuple[float, list[float]]
     return made.withColumn("posterior", F.array(*[F.col(name) / F.col(every) for name in each])).drop(top, every, *each)
 
 
-def _rate(steps: list[list[float]], lowest: float):
-    """The rate after the given gradient steps, as one fold over them for each document's `posterior`."""
-    start = F.lit(float(max(1.0, lowest)))
-    if not steps:
-        return start
-    k = len(steps[0])
-    flat = F.split(F.lit(",".join(repr(float(s)) for step in steps for s in step)), ",").cast("array<double>")
+def _mass(members: DataFrame, size: int) -> list[float]:
+    """sum(rate * n_tokens * posterior) of each domain."""
+    got = members.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("n_tokens") * F.get("posterior", F.lit(i))), F.lit(0.0)).alias(f"s{i}") for i in range(size)]).first()
+    return [float(x) for x in got]
 
-    def after(rate, step):
-        return F.greatest(F.lit(float(lowest)), rate + sum((F.get("posterior", F.lit(i)) * F.get(flat, step * k + i) for i in range(k)), F.lit(0.0)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), start, after)
+def _scale(mass: list[float]):
+    """One over the tokens of the domains that a document belongs to: how far its rate moves for a gap of one token."""
+    held = sum((F.get("posterior", F.lit(i)) * float(m) for i, m in enumerate(mass)), F.lit(0.0))
+    return F.when(held > 0, 1.0 / held).otherwise(0.0)
 
 
-def _curvature(members: DataFrame, size: int) -> tuple[list[list[float]], list[float], float]:
-    """The domains' Gram matrix, its diagonal, and the bound of a step."""
-    k = range(size)
-    p = [F.get("posterior", F.lit(i)) for i in k]
-    gram = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * p[i] * p[j]), F.lit(0.0)) for i in k for j in k]).first()
-    gram = [[float(gram[size * i + j]) for j in k] for i in k]
-    own = [max(gram[i][i], 1e-9) for i in k]
-    return gram, own, max(sum(gram[i][j] / math.sqrt(own[i] * own[j]) for j in k) for i in k) or 1.0
+def _rate(steps: list[list[float]], mass: list[float], lowest: float, start=None):
+    """The rate after the given gradient steps from `start`, as one fold over them for each document's `posterior`."""
+    begin = F.lit(float(max(1.0, lowest))) if start is None else start
+    if not steps:
+        return begin
+    k = len(mass)
+    scale = _scale(mass)
+    flat = F.split(F.lit(",".join(repr(float(x)) for step in steps for x in step)), ",").cast("array<double>")
 
+    def after(rate, step):
+        return F.greatest(F.lit(float(lowest)), rate + scale * sum((F.get("posterior", F.lit(i)) * F.get(flat, step * k + i) for i in range(k)), F.lit(0.0)))
 
-def raised_targets(members: DataFrame, targets: list[float], lowest: float, tolerance: float = 1e-7, rounds: int = 50_000, most: float = 64.0) -> tuple[list[float], list[list[float]]]:
-    """(targets, steps): the targets' shares at a budget which rates of at least `lowest` (1 or more) can meet, and the steps to it.
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), begin, after)
 
-    What is added to a domain adds to others through soft memberships, so the budget is raised to what the fullest domain
-    holds after each step. Then no step is negative and no rate is held at `lowest`: steps add up to one, and the
-    domains' Gram matrix says what each does to all rows. Targets that cannot be met within `most` times
-    their budget come back as they are, without steps.
-    """
-    k = range(len(targets))
-    shares = [t / max(sum(targets), 1e-9) for t in targets]
-    gram, own, lipschitz = _curvature(members, len(targets))
-    start = [lowest * sum(gram[i]) for i in k]  # posteriors sum to one
-    step = [0.0 for _ in k]
-    first = max((start[i] / shares[i] for i in k if shares[i] > 0), default=0.0)
-    for _ in range(rounds):
-        got = [start[i] + sum(gram[i][j] * step[j] for j in k) for i in k]
-        budget = max((got[i] / shares[i] for i in k if shares[i] > 0), default=0.0)
-        gaps = [budget * shares[i] - got[i] for i in k]
-        if max(map(abs, gaps), default=0.0) <= tolerance * max(budget, 1.0):
-            return [budget * s for s in shares], [step] if any(step) else []
-        if budget > most * max(first, 1.0):
-            break
-        step = [step[i] + max(gaps[i], 0.0) / (own[i] * lipschitz) for i in k]
-    return targets, []
 
+def fit_rates(members: DataFrame, targets: list[float], lowest: float = 0.0, passes: int = 60, tolerance: float = 1e-6, raising: bool = False, most: float = 64.0, fold: int = 8) -> tuple[list[list[float]], list[float], list[float]]:
+    """(steps, tokens of each domain, gaps left): steps that bring sum(rate * n_tokens * posterior) to the targets, see `_rate`.
 
-def fit_rates(members: DataFrame, targets: list[float], lowest: float = 0.0, passes: int = 24, tolerance: float = 1e-6, steps: list[list[float]] | None = None) -> list[list[float]]:
-    """Gradient steps that bring sum(rate * n_tokens * posterior) to the targets.
+    members has n_tokens and posterior. Projected gradient on the sum of the squared gaps, for rates of `lowest` and more. A document's
+    step is scaled by the tokens of its domains (a diagonal metric, in which a rare domain moves as fast as a common
+    one) and by a bound of the curvature in that metric. With `raising`, for rates that may only grow, the total of the targets is raised
+    to what the fullest domain holds after each step, as what is added to a domain adds to others too, up to `most` times.
 
-    members has n_tokens and posterior; steps: those already taken. Minimises the squares of the domains' gaps, each weighted
-    by one over its own curvature. Stops when no gap exceeds `tolerance` of all target tokens; warns of the gap that `passes` leave.
+    Stops when no gap exceeds `tolerance` of all target tokens, or when `passes` are done or ten of them gain less than
+    one part in a hundred: targets out of reach are warned of, with the gap of each domain. Rates so far are written every `fold` steps,
+    so that no pass repeats more than those.
     """
-    k = range(len(targets))
-    p = [F.get("posterior", F.lit(i)) for i in k]
-    _, own, lipschitz = _curvature(members, len(targets))
-    steps = list(steps or [])
-    for left in range(passes, -1, -1):
-        rate = _rate(steps, lowest)
-        got = members.agg(*[F.coalesce(F.sum(rate * F.col("n_tokens") * p[i]), F.lit(0.0)) for i in k]).first()
-        gaps = [targets[i] - float(got[i]) for i in k]
-        gap = max(map(abs, gaps), default=0.0) / max(sum(targets), 1.0)
-        if gap <= tolerance:
-            break
-        if not left:
-            warnings.warn(f"rates miss the targets by up to {gap:.2e} of all target tokens after {passes} passes", stacklevel=2)
+    size = len(targets)
+    mass = _mass(members.withColumn("rate", F.lit(1.0)), size)
+    # rows of the curvature's matrix sum to these, and it has no negative entries
+    curvature = max(_mass(members.withColumn("rate", _scale(mass)), size), default=0.0) or 1.0
+    now, steps, folded, trail = members.withColumn("rate", _rate([], mass, lowest)), [], 0, []
+    ceiling = most * max(sum(targets), 1.0)
+    while True:
+        got = _mass(now.withColumn("rate", _rate(steps[folded:], mass, lowest, F.col("rate"))), size)
+        if raising:
+            up = max((g / t for g, t in zip(got, targets) if t > 0), default=1.0)
+            targets = [t * max(up, 1.0) for t in targets]
+        gaps = [t - g for t, g in zip(targets, got)]
+        trail.append(max(map(abs, gaps), default=0.0) / max(sum(targets), 1.0))
+        if trail[-1] <= tolerance or len(trail) > passes or len(trail) > 20 and trail[-1] > 0.99 * trail[-11] or sum(targets) > ceiling:
             break
-        steps.append([g / (o * lipschitz) for g, o in zip(gaps, own)])
-    return steps
+        steps.append([(max(g, 0.0) if raising else g) / curvature for g in gaps])
+        if len(steps) - folded == fold:
+            now, folded = stage(now.withColumn("rate", _rate(steps[folded:], mass, lowest, F.col("rate"))), "rates"), len(steps)
+    if trail[-1] > tolerance:
+        warnings.warn(f"rates miss the targets by up to {trail[-1]:.2e} of all target tokens after {len(steps)} passes; gaps in tokens: {[round(g, 1) for g in gaps]}", stacklevel=2)
+    return steps, mass, gaps
 
 
 def domain_targets(members: DataFrame, weights: list[float], budget: float | None, never_below: bool) -> list[float]:
     """Target tokens of each domain: shares of `budget`, of the tokens there are, or, with
-    `never_below`, of the smallest total at which no domain starts with more than its share (see `raised_targets`)."""
-    mass = members.agg(*[F.coalesce(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(i))), F.lit(0.0)) for i in range(len(weights))]).first()
+    `never_below`, of the smallest total at which no domain starts with more than its share."""
+    mass = _mass(members.withColumn("rate", F.lit(1.0)), len(weights))
     total = sum(weights)
     shares = [w / total for w in weights]
     if never_below:
-        budget = max(float(m) / s for m, s in zip(mass, shares) if s > 0)
+        budget = max((m / s for m, s in zip(mass, shares) if s > 0), default=0.0)
     elif budget is None:
-        budget = sum(map(float, mass))
+        budget = sum(mass)
     return [budget * s for s in shares]
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, never_below: bool = False, lowest: float = 0.0, passes: int = 24, max_labelled: int = MAX_LABELLED, carry: bool = True) -> DataFrame:
+def expected_shares(mixed: DataFrame, domains: list[str]) -> DataFrame:
+    """(domain, tokens, share): what the rates of a mix are expected to show of each domain; domains in the order of the posteriors."""
+    each = mixed.select(F.posexplode("posterior").alias("k", "p"), (F.col("rate") * F.col("n_tokens")).alias("t")).groupBy("k").agg(F.sum(F.col("p") * F.col("t")).alias("tokens"))
+    every = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row a domain
+    return each.select(F.get(F.array(*map(F.lit, domains)), F.col("k")).alias("domain"), "tokens", (F.col("tokens") / every).alias("share"))
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, never_below: bool = False, lowest: float = 0.0, passes: int = 60, max_labelled: int = MAX_LABELLED, carry: bool = True) -> DataFrame:
     """docs (or, with carry=False, their ids only) with n_tokens, posterior, domain (the likeliest), rate and copies.
 
     `weights` names the share of tokens of each domain; labels has the id and `domain_col`.
@@ -194,10 +189,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_co
     scored = with_posteriors(docs, tables, text_col).withColumn(chance, F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)) / F.lit(float(1 << 30)))
     # written once: the fit reads two narrow columns of it, and the result adds the rate to it
     scored = stage(scored if carry else scored.drop(text_col), "memberships")
-    narrow = scored.select("n_tokens", "posterior")
-    targets = domain_targets(narrow, [weights.get(d, 0.0) for d in tables], budget, never_below)
-    targets, steps = raised_targets(narrow, targets, lowest) if never_below and lowest >= 1 else (targets, [])
-    steps = fit_rates(narrow, targets, lowest, passes, steps=steps)
+    members = scored.select("n_tokens", "posterior")
+    targets = domain_targets(members, [weights.get(d, 0.0) for d in tables], budget, never_below)
+    steps, mass, _ = fit_rates(members, targets, lowest, passes, raising=never_below and lowest >= 1)
     names = F.array(*[F.lit(d) for d in tables])
-    out = scored.withColumn("rate", _rate(steps, lowest)).withColumn("domain", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
+    out = scored.withColumn("rate", _rate(steps, mass, lowest)).withColumn("domain", F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1))
     return out.withColumn("copies", F.floor(F.col("rate") + F.col(chance)).cast("long")).drop(chance)

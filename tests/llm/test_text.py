@@ -229,9 +229,10 @@ def test_mixing_never_below_meets_its_shares(spark):
 def test_mixing_reports_the_gap_left(spark):
     members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.2, 0.8])], "n_tokens long, posterior array<double>")
     with pytest.warns(UserWarning, match="miss the targets"):
-        mixing.fit_rates(members, [100.0, 1.0], lowest=1.0)
-    targets, steps = mixing.raised_targets(members, [11.0, 11.0], 1.0)
-    assert len(steps) == 1 and abs(targets[0] - targets[1]) < 1e-6 and min(steps[0]) >= 0
+        gaps = mixing.fit_rates(members, [100.0, 1.0], lowest=1.0)[2]
+    assert gaps[0] > 0 > gaps[1]
+    steps, mass, gaps = mixing.fit_rates(members, [11.0, 11.0], 1.0, raising=True)
+    assert max(map(abs, gaps)) < 1e-4 and min(min(s) for s in steps) >= 0 and round(sum(mass), 6) == 20
 
 
 def test_mixing_edges(spark):
