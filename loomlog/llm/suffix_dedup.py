@@ -18,11 +18,14 @@ sample the same places and only about one suffix in eighty-five is sorted (q = 3
    one string.
 4. Each place yields one span; spans of a document are united and cut out.
 
+Steps 1 and 2 count hashes, not bucket identifiers: a q-gram's bucket is named by 64 bits, and with all that is around it by 128. Bucket
+identifiers of later offsets refine what those leave open, inside a bucket (step 3).
+
 All counts are pre-aggregated by task, joins back to the suffixes are plain equi-joins, which adaptive
 execution splits where a bucket is hot, and whole texts (compressed) cross the network twice.
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose nothing; rows that repeat an id, with
-equal or other texts, are documents of their own; a null id is kept; an empty table gives an empty
+equal or other texts, are documents of their own; a null id is kept; ids are cast to long; an empty table gives an empty
 result; other columns are not read.
 """
 
@@ -39,7 +42,6 @@ from loomlog.llm.common import stage
 
 LENGTH, Q, GROUP, CHUNK = 200, 32, 2048, 1 << 20
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit numbers
-_NULL_ID = -(2**63)
 
 
 def powers(base: int = _BASE, n: int = CHUNK + 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +99,9 @@ def sampled(data: np.ndarray, length: int, q: int, scale: tuple[np.ndarray, np.n
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    """(d, t, text, none): a row is named by its id and a hash of its text; rows without an id have 0 and hashes of their own."""
+    text, given = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    return docs.select(F.coalesce(given, F.lit(0)).alias("d"), F.xxhash64(text, given.isNull()).alias("t"), text.alias("text"), given.isNull().alias("none"))
 
 
 def _suffixes(keyed: DataFrame, length: int, q: int) -> DataFrame:
@@ -125,20 +128,20 @@ def _suffixes(keyed: DataFrame, length: int, q: int) -> DataFrame:
             for i in range(0, len(arrays[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000], pa.int32() if k == 2 else pa.int64()) for k, x in enumerate(arrays)], ["d", "t", "pos", "q", "c"])
 
-    return keyed.mapInArrow(work, "d long, t long, pos int, q long, c long")
+    return keyed.select("d", "t", "text").mapInArrow(work, "d long, t long, pos int, q long, c long")
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
-    """Texts compressed for the network: (d, t, z)."""
+    """Texts compressed for the network: (d, t, none, z)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pack(memoryview(x.as_buffer())) for x in b.column(2)], pa.binary())], ["d", "t", "z"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([pack(memoryview(x.as_buffer())) for x in b.column(3)], pa.binary())], ["d", "t", "none", "z"])
 
-    return keyed.mapInArrow(work, "d long, t long, z binary")
+    return keyed.select("d", "t", "none", "text").mapInArrow(work, "d long, t long, none boolean, z binary")
 
 
 def _unpack(z: bytes) -> bytes:
@@ -173,6 +176,9 @@ def _contexts(joined: DataFrame, length: int, q: int) -> DataFrame:
                     p = x["pos"]
                     begin = max(p - (length - q), 0)
                     rows.append((x["q"], 0, 0, d.as_py(), t.as_py(), p, p - begin, 0, length - q, raw[begin : p + length]))
+                    if len(rows) >= 20_000:
+                        yield from _batches(rows)
+                        rows = []
             yield from _batches(rows)
 
     return joined.mapInArrow(work, CONTEXT)
@@ -201,6 +207,9 @@ def _parted(contexts: DataFrame, length: int) -> DataFrame:
                     whole = r["bytes"][r["lead"] - f : r["lead"] - n + length]
                     e = int(np.uint64(xxhash.xxh3_64_intdigest(whole, f)).view(np.int64))
                     rows.append((int(h[0]), int(h[1]), e, r["d"], r["t"], r["pos"], f, near, far, whole))
+                    if len(rows) >= 20_000:
+                        yield from _batches(rows)
+                        rows = []
             yield from _batches(rows)
 
     return contexts.select(*[x.split()[0] for x in CONTEXT.split(", ")]).mapInArrow(work, CONTEXT)
@@ -359,22 +368,22 @@ def united(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, group: int = GROUP) -> DataFrame:
     """(id, n_bytes, n_removed, spans, kept): `kept` holds the remaining bytes of each document."""
     keyed = _keyed(docs, id_col, text_col)
-    found = _packed(keyed).join(repeated_spans(docs, id_col, text_col, length, q, group), ["d", "t"], "left").select("d", "z", "spans")
+    found = _packed(keyed).join(repeated_spans(docs, id_col, text_col, length, q, group), ["d", "t"], "left").select("d", "z", "spans", "none")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.binary())
         for b in batches:
             rows: list[tuple] = []
-            for d, z, spans in zip(*(b.column(i) for i in range(3))):
+            for d, z, spans, none in zip(*(b.column(i) for i in range(4))):
                 raw = _unpack(z.as_py())
                 cut = united([(x["start"], x["stop"]) for x in spans.as_py() or ()], len(raw))
                 edges = [0, *(x for span in cut for x in span), len(raw)]
                 kept = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2]))
-                rows.append((d.as_py(), len(raw), len(raw) - len(kept), [{"start": i, "stop": j} for i, j in cut], kept))
+                rows.append((None if none.as_py() else d.as_py(), len(raw), len(raw) - len(kept), [{"start": i, "stop": j} for i, j in cut], kept))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else ((),) * 5, kinds)], ["d", "n_bytes", "n_removed", "spans", "kept"])
 
     out = found.mapInArrow(work, "d long, n_bytes long, n_removed long, spans array<struct<start: long, stop: long>>, kept binary")
-    return out.select(F.when(F.col("d") != _NULL_ID, F.col("d")).alias(id_col), "n_bytes", "n_removed", "spans", "kept")
+    return out.select(F.col("d").alias(id_col), "n_bytes", "n_removed", "spans", "kept")
 
 
 def brute_force(texts: list[bytes], length: int) -> list[list[tuple[int, int]]]:
