@@ -204,14 +204,14 @@ def blocks(page: str) -> list[tuple[str, bool]]:
 
 
 def _token_hashes(page: list[str], known: dict[str, int]) -> np.ndarray:
-    """A 64-bit hash of each token of a page's blocks; known: those of tokens seen."""
+    """A hash of 32 bits of each token of a page's blocks; known: those of tokens seen. A run of eight is told by 256 bits."""
     import xxhash
 
     tokens = [t for block in page for t in block.split(" ")]
     if len(known) > 500_000:
         known.clear()
     for t in set(tokens).difference(known):
-        known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+        known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
     return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
 
 
@@ -301,8 +301,13 @@ def _cut(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFram
 def _candidates(streams: DataFrame, long_run: int, share: float, block_pages: int) -> DataFrame:
     """(host, run, pages): strings that suffix arrays of up to `block_pages` streams of a host find on half of `share` of them."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        for b in batches:
+            tokens = [_token_hashes(page.as_py(), known).astype("<u4").tobytes() for page in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.binary())], ["host", "stream", "tokens"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         at = before = None
 
@@ -319,12 +324,12 @@ def _candidates(streams: DataFrame, long_run: int, share: float, block_pages: in
                 if (host, stream) == before:  # equal streams come one after the other
                     continue
                 at, before = host, (host, stream)
-                held.append(_token_hashes(page.as_py(), known))
+                held.append(np.frombuffer(page.as_buffer(), "<u4").astype(np.uint64))
                 size += len(held[-1])
         if held:
             yield flush()
 
-    dealt = streams.repartitionByRange(partitions(streams.sparkSession), "host", "stream").sortWithinPartitions("host", "stream")
+    dealt = streams.mapInArrow(coded, "host string, stream long, tokens binary").repartitionByRange(partitions(streams.sparkSession), "host", "stream").sortWithinPartitions("host", "stream")
     found = dealt.mapInArrow(work, "host string, run long, pages long")
     return found.groupBy("host", "run").agg(F.sum("pages").alias("pages"))
 
