@@ -24,6 +24,29 @@ def state_vector(structs: DataFrame) -> DataFrame:
     return structs.groupBy("doc", "client").agg(F.max(clock_end()).alias("state"))
 
 
+def update_vector(structs: DataFrame) -> DataFrame:
+    """(doc, seq, client, state): the state vector of each update by itself, its block's first clock plus all lengths."""
+    return structs.groupBy("doc", "seq", "client").agg((F.min("clock") + F.sum("len")).alias("state"))
+
+
+def coalesced(structs: DataFrame, same: str) -> DataFrame:
+    """(doc, client, same, clock, len, parts): structs that follow one another and are of one kind, as one."""
+    w = Window.partitionBy("doc", "client").orderBy("clock")
+    follows = (F.lag(clock_end()).over(w) == F.col("clock")) & F.lag(same).over(w).eqNullSafe(F.col(same))
+    runs = structs.withColumn("new", (~F.coalesce(follows, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "client", "run").agg(F.first(same).alias(same), F.min("clock").alias("clock"), F.sum("len").alias("len"), F.count(F.lit(1)).alias("parts")).drop("run")
+
+
+def digests(structs: DataFrame, span: int = 1024) -> DataFrame:
+    """(doc, fingerprint): digests of spans of a client's clocks, of clients and of the document, so that no group holds a document."""
+    line = F.concat_ws(":", "clock", "len")
+    joined = lambda c, key: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, c))), lambda x: x[c]), ","))
+    parts = structs.withColumn("line", line).groupBy("doc", "client", F.floor(F.col("clock") / span).alias("span")).agg(joined("line", "clock").alias("digest"))
+    clients = parts.groupBy("doc", "client").agg(joined("digest", "span").alias("digest"))
+    lines = clients.select("doc", "client", F.concat_ws(":", "client", "digest").alias("line"))
+    return lines.groupBy("doc").agg(joined("line", "client").alias("fingerprint"))
+
+
 def state_text(vector: DataFrame) -> DataFrame:
     """(doc, sv): the state vector as text, clients in descending order."""
     entries = F.sort_array(F.collect_list(F.struct("client", "state")), asc=False)

@@ -282,9 +282,9 @@ def roots(items: DataFrame) -> DataFrame:
     return placed(items).where("parent is not null and parent not like '#%'").select("doc", F.col("parent").alias("root")).distinct()
 
 
-def subdocuments(items: DataFrame) -> DataFrame:
-    """(doc, guids): the documents that live items embed."""
-    return live(items).where("content_ref = 9 and current").groupBy("doc").agg(F.sort_array(F.collect_set(F.get_json_object("content", "$.guid"))).alias("guids"))
+def subdocuments(items: DataFrame, current: bool = True) -> DataFrame:
+    """(doc, guids): the documents that live items embed; those of keys only where they are the current value."""
+    return live(items).where("content_ref = 9" + (" and current" if current else "")).groupBy("doc").agg(F.sort_array(F.collect_set(F.get_json_object("content", "$.guid"))).alias("guids"))
 
 
 def text_lengths(items: DataFrame) -> DataFrame:

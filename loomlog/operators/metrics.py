@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators import blocks
 from loomlog.operators.rooms import micros
 
 
@@ -11,6 +12,10 @@ def bounds(start: float, factor: float, n: int) -> list[float]:
     return [round(start * factor**k, 12) for k in range(n)]
 
 
+#: Start, factor and number of the bucket bounds of each measure.
+BUCKET_SETS = {"apply_seconds": (2e-5, 3, 10), "update_bytes": (16, 4, 9), "store_seconds": (5e-4, 3, 10), "load_seconds": (1e-3, 3, 10), "hook_seconds": (1e-3, 3, 10), "auth_seconds": (1e-3, 3, 10)}
+
+
 def histogram(samples: DataFrame, value: str, les: list[float], key: tuple = ()) -> DataFrame:
     """(key, le, n): how many samples are at or below each bound, and below infinity.
 
@@ -34,22 +39,51 @@ def histogram_quantile(q: float, buckets: DataFrame, key: tuple = ()) -> DataFra
     return first.select(*key, F.when(F.col("le") == float("inf"), F.col("lower")).otherwise(inside).alias("value"))
 
 
-def index_percentiles(samples: DataFrame, value: str, ps: dict[str, float], key: tuple) -> DataFrame:
+def index_percentiles(samples: DataFrame, value: str, ps: dict[str, float], key: tuple, width: float = 1.0) -> DataFrame:
     """The value at place floor(p * n) of the sorted samples (counting from 0), the last at most.
 
-    This is neither the discrete nor the continuous percentile: the median of 1, 2, 3, 4 is 3.
+    This is neither the discrete nor the continuous percentile: the median of 1, 2, 3, 4 is 3. Samples are counted in buckets of
+    `width`; only buckets that hold a wanted place are sorted, each by itself.
     """
-    n = Window.partitionBy(*key)
-    ranked = samples.where(F.col(value).isNotNull()).withColumn("at", F.row_number().over(n.orderBy(value)) - 1).withColumn("all", F.count(F.lit(1)).over(n))
-    at = lambda p: F.max(F.when(F.col("at") == F.least(F.floor(p * F.col("all")), F.col("all") - 1), F.col(value)))
-    return ranked.groupBy(*key).agg(F.max("all").alias("n"), *[at(p).alias(name) for name, p in ps.items()])
+    held = samples.where(F.col(value).isNotNull()).select(*key, F.col(value).alias("__v"), F.floor(F.col(value) / width).alias("__b"))
+    counts = held.groupBy(*key, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(*key)
+    placed = counts.select(*key, "__b", "__n", F.sum("__n").over(w).alias("__all"), (F.sum("__n").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__from"))
+    place = lambda p: F.least(F.floor(F.lit(p) * F.col("__all")), F.col("__all") - 1)
+    wanted = placed.select(*key, "__b", "__all", "__from", "__n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), place(p).alias("at")) for name, p in ps.items()])).alias("w"))
+    wanted = wanted.where((F.col("w.at") >= F.col("__from")) & (F.col("w.at") < F.col("__from") + F.col("__n"))).select(*key, "__b", "__all", "w.name", (F.col("w.at") - F.col("__from")).alias("__place"))
+    some = held.join(wanted.select(*key, "__b").distinct(), [*key, "__b"]).withColumn("__place", F.row_number().over(Window.partitionBy(*key, "__b").orderBy("__v")) - 1)
+    found = wanted.join(some, [*key, "__b", "__place"])
+    return found.groupBy(*key).agg(F.max("__all").alias("n"), *[F.max(F.when(F.col("name") == name, F.col("__v"))).alias(name) for name in ps])
 
 
 def windowed_rate(samples: DataFrame, seconds: int, key: tuple, value: Column | None = None) -> DataFrame:
-    """samples with `rate`: what came in the last so many seconds, each second."""
-    w = Window.partitionBy(*key).orderBy(micros("ts")).rangeBetween(-(seconds * 1_000_000) + 1, 0)
+    """samples with `rate`: what came in the last so many seconds, each second.
+
+    Time is cut into blocks of that width; each sample also goes to the block after its own, which is as far as it counts.
+    """
+    width = seconds * 1_000_000
+    own = F.floor(F.col("__at") / width)
+    both = samples.withColumn("__at", micros("ts")).withColumn("__own", own).withColumn("__block", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(*key, "__block").orderBy("__at").rangeBetween(-width + 1, 0)
     what = F.count(F.lit(1)) if value is None else F.sum(value)
-    return samples.withColumn("rate", what.over(w) / seconds)
+    return both.withColumn("rate", what.over(w) / seconds).where("__block = __own").drop("__at", "__own", "__block")
+
+
+def ratio(above: DataFrame, below: DataFrame, key: tuple, name: str = "ratio") -> DataFrame:
+    """(key, name): `value` of one table over that of the other where both have the key; null over zero."""
+    b = below.select(*key, F.col("value").alias("__below"))
+    return above.join(b, list(key)).select(*key, F.try_divide("value", "__below").alias(name))
+
+
+def both(left: DataFrame, right: DataFrame, key: tuple) -> DataFrame:
+    """The rows of left whose key right has too."""
+    return left.join(right.select(*key).distinct(), list(key), "left_semi")
+
+
+def at_zero(samples: DataFrame, label: str, pattern: str) -> DataFrame:
+    """The samples whose label matches the whole pattern and whose value is zero."""
+    return samples.where(F.col(label).rlike(f"^(?:{pattern})$") & (F.col("value") == 0))
 
 
 def tumbling(events: DataFrame, width: str, key: tuple) -> DataFrame:
@@ -65,11 +99,17 @@ def sustained(windows: DataFrame, breach: Column, length: int, step_seconds: int
     return bad.groupBy(*key, "step").agg(F.min("start").alias("started"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= length).drop("step")
 
 
-def match_latency(sent: DataFrame, received: DataFrame, most: str) -> DataFrame:
-    """received with the latency to what was sent under the same key, null if not sent within `most`."""
-    s = sent.select(F.col("key").alias("k"), F.col("ts").alias("sent_at"))
-    near = (F.col("key") == F.col("k")) & (F.col("ts") >= F.col("sent_at")) & (F.col("ts") <= F.col("sent_at") + F.expr(f"interval {most}"))
-    return received.join(s, near, "left").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("sent_at").cast("timestamp"))).drop("k")
+def match_latency(sent: DataFrame, received: DataFrame, most_seconds: int) -> DataFrame:
+    """received with the latency to what was sent under the same key, null if not sent within `most_seconds`.
+
+    An equi-join on key and block of time: what was sent is filed in its block and the next, so that a busy key is spread.
+    """
+    width = most_seconds * 1_000_000
+    own = F.floor(micros("ts") / width)
+    s = sent.select(F.col("key").alias("k"), micros("ts").alias("sent_at"), F.explode(F.array(own, own + 1)).alias("b"))
+    r = received.withColumn("__at", micros("ts")).withColumn("__block", own)
+    near = (F.col("key") == F.col("k")) & (F.col("__block") == F.col("b")) & F.col("__at").between(F.col("sent_at"), F.col("sent_at") + width)
+    return r.join(s, near, "left").withColumn("micros", F.col("__at") - F.col("sent_at")).drop("k", "b", "sent_at", "__at", "__block")
 
 
 def delivery(sent: DataFrame, key: str = "doc", client: str = "client") -> DataFrame:
@@ -77,7 +117,19 @@ def delivery(sent: DataFrame, key: str = "doc", client: str = "client") -> DataF
     return sent.groupBy(key).agg(F.count_distinct(client).alias("clients"), F.count(F.lit(1)).alias("sent")).withColumn("expected", F.col("sent") * (F.col("clients") - 1))
 
 
-def clock_resolution(samples: DataFrame, key: tuple) -> DataFrame:
+def delivery_report(sent: DataFrame, received: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, clients, sent, expected, received, untracked, errors, ratio): received has key, micros (null if nothing sent matches) and failed."""
+    got = received.groupBy(key).agg(F.count_if(F.col("micros").isNotNull() & ~F.col("failed")).alias("received"), F.count_if(F.col("micros").isNull() & ~F.col("failed")).alias("untracked"), F.count_if("failed").alias("errors"))
+    return delivery(sent, key).join(got, key, "left").na.fill(0, ["received", "untracked", "errors"]).withColumn("ratio", F.try_divide("received", "expected"))
+
+
+def replica_totals(counters: DataFrame, replicas: int) -> DataFrame:
+    """(published, received, looped): totals of counters (node, published, received) over replicas; more received than each publication can reach the others means a loop."""
+    return counters.agg(F.sum("published").alias("published"), F.sum("received").alias("received")).withColumn("looped", F.col("received") > F.col("published") * (replicas - 1))
+
+
+def clock_resolution(samples: DataFrame, key: tuple, block_seconds: int = 86_400) -> DataFrame:
     """(key, micros): the smallest positive step between samples."""
-    step = micros("ts") - F.lag(micros("ts")).over(Window.partitionBy(*key).orderBy("ts", "seq"))
-    return samples.withColumn("step", step).where("step > 0").groupBy(*key).agg(F.min("step").alias("micros"))
+    timed = samples.select(*key, "seq", micros("ts").alias("__at"))
+    before = blocks.lagged(timed, key, ("__at", "seq"), F.floor(F.col("__at") / (block_seconds * 1_000_000)), {"__prev": "__at"})
+    return before.withColumn("step", F.col("__at") - F.col("__prev")).where("step > 0").groupBy(*key).agg(F.min("step").alias("micros"))

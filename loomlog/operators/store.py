@@ -6,6 +6,8 @@ Tables are values: what a statement would change in place is the table that it l
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomlog.operators import blocks
+
 
 def insert_absent(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """table with those rows whose key it does not have; a key that repeats in rows is inserted once."""
@@ -74,17 +76,40 @@ def set_if_empty(table: DataFrame, column: str, value: Column) -> DataFrame:
 
 def gate_versions(offers: DataFrame, days: int, at: str = "at", key: str = "doc_id", order: str = "seq", same: str = "state") -> DataFrame:
     """Which offered versions are kept: the first, then each at least `days` after the last kept
-    whose state differs from it. One fold a document over its offers in order."""
-    day = F.unix_date(F.to_date(at))
-    offered = F.sort_array(F.collect_list(F.struct(F.col(at).alias("t"), F.col(order).alias("o"), day.alias("d"), F.col(same).alias("s"))))
-    start = F.struct(F.lit(None).cast("int").alias("d"), F.lit(None).cast(offers.schema[same].dataType).alias("s"), F.array().cast("array<bigint>").alias("kept"))
+    whose state differs from it."""
+
+    def step(kept, r):
+        keep = kept is None or r.day - kept[0] >= days and r.state != kept[1]
+        return ((r.day, r.state) if keep else kept), ((r.key, r.o) if keep else None)
+
+    rows = offers.select(F.col(key).cast("long").alias("key"), F.col(at).alias("t"), F.col(order).cast("long").alias("o"), F.unix_date(F.to_date(at)).alias("day"), F.col(same).cast("string").alias("state"))
+    return blocks.fold(rows, ("key",), ("t", "o"), "key long, o long", None, step).select(F.col("key").alias(key), F.col("o").alias(order))
+
+
+def version_counts(versions: DataFrame) -> DataFrame:
+    """(doc_id, versions)."""
+    return versions.groupBy("doc_id").agg(F.count(F.lit(1)).alias("versions"))
+
+
+def idle_version_keys(versions: DataFrame, documents: DataFrame, log: DataFrame, before: Column) -> DataFrame:
+    """The blob keys of the versions of documents that are about to go as idle."""
+    return versions.where("blob_key <> ''").join(idle_documents(documents, log, before).select("doc_id"), "doc_id", "left_semi").select("doc_id", "blob_key")
+
+
+def superseded_keys(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The snapshot keys that a compaction of the documents leaves behind."""
+    return documents.where("snapshot_key <> ''").join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "snapshot_key")
+
+
+def blob_key(kind: str, doc_id: Column, of: Column) -> Column:
+    """snapshots/<id>/<seq> or versions/<id>/<name>."""
+    return F.concat_ws("/", F.lit(kind), doc_id.cast("string"), of.cast("string"))
 
-    def step(acc, x):
-        keep = acc["d"].isNull() | ((x["d"] - acc["d"] >= days) & ~x["s"].eqNullSafe(acc["s"]))
-        return F.struct(F.when(keep, x["d"]).otherwise(acc["d"]).alias("d"), F.when(keep, x["s"]).otherwise(acc["s"]).alias("s"), F.when(keep, F.concat(acc["kept"], F.array(x["o"].cast("bigint")))).otherwise(acc["kept"]).alias("kept"))
 
-    folded = offers.groupBy(key).agg(offered.alias("offers"))
-    return folded.select(key, F.explode(F.aggregate("offers", start, step)["kept"]).alias(order))
+def stored(payload: Column, key: Column, inline_most: int) -> Column:
+    """(inline, key) of a payload: small ones stay in the row with an empty key, others go to the object of that key."""
+    small = F.octet_length(payload) <= inline_most
+    return F.struct(F.when(small, payload).alias("inline"), F.when(small, F.lit("")).otherwise(key).alias("key"))
 
 
 def prune(versions: DataFrame, keep: int, key: str = "doc_id", order: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import codec, scalars
-from loomlog.operators import intervals, merge, metrics, rooms, store
+from loomlog.operators import blocks, intervals, merge, metrics, rooms, store
 from loomlog.sources.oplog import ops, read
 
 QUERIES: dict = {}
@@ -100,9 +100,9 @@ def pending_gaps(spark, d):
     (SELECT doc, client, max(clock + len) AS state FROM ops WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL) s WHERE s.doc = l.doc AND s.client = origin_client AND origin_clock < state)""",
     "linked AS (SELECT doc, client, seq, lag(client) OVER w AS origin_client, lag(clock) OVER w AS origin_clock FROM ops WINDOW w AS (PARTITION BY doc ORDER BY ts, seq))"))
 def missing_deps(spark, d):
-    w = Window.partitionBy("doc").orderBy("ts", "seq")
-    linked = ops(spark, d).select("doc", "client", "seq", F.lag("client").over(w).alias("origin_client"), F.lag("clock").over(w).alias("origin_clock"))
-    return intervals.missing_dependencies(linked, ops(spark, d).where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")))
+    day = F.unix_date(F.to_date("ts"))
+    linked = blocks.lagged(ops(spark, d).select("doc", "client", "clock", "seq", "ts"), ("doc",), ("ts", "seq"), day, {"origin_client": "client", "origin_clock": "clock"})
+    return intervals.missing_dependencies(linked.select("doc", "client", "seq", "origin_client", "origin_clock"), ops(spark, d).where(F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")))
 
 
 @query(with_ops("SELECT doc, client, clock, len FROM ops"))
@@ -111,16 +111,16 @@ def dedupe_ops(spark, d):
     return intervals.dedupe(twice).select("doc", "client", "clock", "len")
 
 
-@query(with_ops("SELECT p.doc, p.client, p.seq, p.pos AS \"at\", o.clock AS start, o.clock + o.len AS stop FROM (SELECT doc, client, seq, clock + len // 2 AS pos FROM ops WHERE k % 4 = 0) p JOIN ops o ON o.doc = p.doc AND o.client = p.client AND o.clock <= pos AND pos < o.clock + o.len"))
+@query(with_ops("SELECT p.doc, p.client, p.seq, p.pos AS \"at\", o.clock AS start, o.clock + o.len AS stop FROM (SELECT doc, client, seq, clock + len // 2 AS pos FROM ops) p JOIN ops o ON o.doc = p.doc AND o.client = p.client AND o.clock <= pos AND pos < o.clock + o.len"))
 def point_in_interval(spark, d):
-    points = ops(spark, d).where("k % 4 = 0").select("doc", "client", "seq", F.expr("clock + len div 2").alias("at"))
+    points = ops(spark, d).select("doc", "client", "seq", F.expr("clock + len div 2").alias("at"))
     return intervals.covering(points, ops(spark, d).select("doc", "client", "clock", "len"))
 
 
-@query(with_ops("""SELECT doc, client, seq, clock, len FROM ops WHERE NOT (k % 4 = 0 AND len > 1)
-    UNION ALL SELECT doc, client, seq, clock + len // 2 * i, CASE i WHEN 0 THEN len // 2 ELSE len - len // 2 END FROM ops, (VALUES (0), (1)) t(i) WHERE k % 4 = 0 AND len > 1"""))
+@query(with_ops("""SELECT doc, client, seq, clock, len FROM ops WHERE len = 1
+    UNION ALL SELECT doc, client, seq, clock + len // 2 * i, CASE i WHEN 0 THEN len // 2 ELSE len - len // 2 END FROM ops, (VALUES (0), (1)) t(i) WHERE len > 1"""))
 def interval_split(spark, d):
-    at = ops(spark, d).where("k % 4 = 0").select("doc", "client", F.expr("clock + len div 2").alias("at"))
+    at = ops(spark, d).select("doc", "client", F.expr("clock + len div 2").alias("at"))
     return intervals.split_at(ops(spark, d).select("doc", "client", "seq", "clock", "len"), at)
 
 
@@ -169,19 +169,44 @@ def clients_descending(spark, d):
 # -- documents ---------------------------------------------------------------------------------------
 
 
-@query(with_ops("SELECT doc, k % 20 AS key, arg_max(value, (client, clock)) AS value FROM ops GROUP BY ALL"))
+def map_structs(spark, d, sub, content_ref, content):
+    """Each operation of a document sets one key of its map; a client's sets of one key follow one another."""
+    rows = ops(spark, d).withColumn("sub", sub.cast("string")).withColumn("len", F.lit(1).cast("long"))
+    rows = rows.withColumn("clock", F.row_number().over(Window.partitionBy("doc", "client").orderBy("ts", "seq")).cast("long") - 1)
+    before = F.lag("clock").over(Window.partitionBy("doc", "client", "sub").orderBy("clock"))
+    rows = rows.withColumn("prev", before)
+    none = F.lit(None).cast("struct<client: long, clock: long>")
+    return rows.select(
+        F.concat_ws("/", "doc", "sub").alias("doc"), "seq", F.lit(None).cast("string").alias("error"), "client", "clock", "len", F.lit("Item").alias("kind"),
+        F.when(F.col("prev").isNotNull(), F.struct("client", F.col("prev").alias("clock"))).alias("origin"), none.alias("right_origin"), F.when(F.col("prev").isNull(), F.lit("map")).alias("parent_root"), none.alias("parent_item"),
+        F.when(F.col("prev").isNull(), F.col("sub")).alias("parent_sub"), F.lit(content_ref).alias("content_ref"), content.alias("content"), F.col("doc").alias("of"),
+    )
+
+
+def map_items(spark, d):
+    """The maps as merged; a key is a document of its own with clocks of its own, so that a document's keys are spread."""
+    rows = map_structs(spark, d, F.col("k") % 20, 8, F.to_json(F.struct(F.array(F.col("value").cast("string")).alias("values"))))
+    renumbered = F.row_number().over(Window.partitionBy("doc", "client").orderBy("clock")).cast("long") - 1
+    rows = rows.withColumn("clock", renumbered).withColumn("origin", F.when(F.col("clock") > 0, F.struct("client", (F.col("clock") - 1).alias("clock"))))
+    return merge.integrate(rows.drop("of"))
+
+
+@query(with_ops("SELECT doc, CAST(k % 20 AS VARCHAR) AS key, arg_max(value, (client, clock)) AS value FROM ops GROUP BY ALL"))
 def map_lww(spark, d):
-    return ops(spark, d).groupBy("doc", (F.col("k") % 20).alias("key")).agg(F.max_by("value", F.struct("client", "clock")).alias("value"))
+    """Concurrent writers of a key: the last write of the greatest client stays."""
+    value = F.get(F.from_json(F.get_json_object("content", "$.values"), "array<string>"), 0).cast("double")
+    return merge.maps(map_items(spark, d)).select(F.substring_index("doc", "/", 1).alias("doc"), "key", value.alias("value"))
 
 
-@query(with_ops("SELECT doc, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT DISTINCT doc, CAST(k AS VARCHAR) AS key FROM ops) GROUP BY ALL"))
+@query(with_ops("SELECT doc, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT DISTINCT doc, CAST(k % 20 AS VARCHAR) AS key FROM ops) GROUP BY ALL"))
 def map_keys(spark, d):
-    return ops(spark, d).groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set(F.col("k").cast("string"))), ",").alias("keys"))
+    each = merge.map_keys(map_items(spark, d)).select(F.substring_index("doc", "/", 1).alias("doc"), F.explode("keys").alias("key"))
+    return each.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set("key")), ",").alias("keys"))
 
 
-@query(with_ops("SELECT doc, count(DISTINCT k) AS n FROM ops GROUP BY ALL"))
+@query(with_ops("SELECT doc, count(DISTINCT k % 20) AS n FROM ops GROUP BY ALL"))
 def map_len(spark, d):
-    return ops(spark, d).groupBy("doc").agg(F.count_distinct("k").alias("n"))
+    return merge.map_keys(map_items(spark, d)).groupBy(F.substring_index("doc", "/", 1).alias("doc")).agg(F.sum("n").alias("n"))
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY role, turn) AS text FROM conversations GROUP BY ALL")
@@ -225,9 +250,18 @@ def merge_fingerprint(spark, d):
     return merge.fingerprints(merge.integrate(conversation_structs(spark, d)))
 
 
-@query("SELECT role AS parent, string_agg(g, ',' ORDER BY g) AS guids FROM (SELECT DISTINCT role, CAST(conv_id AS VARCHAR) AS g FROM conversations WHERE turn % 2 = 0) GROUP BY ALL")
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc, string_agg(g, ',' ORDER BY g) AS guids FROM (SELECT DISTINCT conv_id, conv_id || '-' || turn AS g FROM conversations) GROUP BY ALL")
 def subdocs(spark, d):
-    return read(spark, d, "conversations").where("turn % 2 = 0").groupBy(F.col("role").alias("parent")).agg(F.array_join(F.sort_array(F.collect_set(F.col("conv_id").cast("string"))), ",").alias("guids"))
+    """Each turn embeds a document of its own in the list of its conversation."""
+    rows = read(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").cast("long").alias("turn")).distinct()
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("turn")).cast("long") - 1
+    none = F.lit(None).cast("struct<client: long, clock: long>")
+    rows = rows.withColumn("clock", place).select(
+        "doc", F.col("turn").alias("seq"), F.lit(None).cast("string").alias("error"), F.lit(1).cast("long").alias("client"), "clock", F.lit(1).cast("long").alias("len"), F.lit("Item").alias("kind"),
+        F.when(F.col("clock") > 0, F.struct(F.lit(1).cast("long").alias("client"), (F.col("clock") - 1).alias("clock"))).alias("origin"), none.alias("right_origin"), F.when(F.col("clock") == 0, F.lit("docs")).alias("parent_root"), none.alias("parent_item"),
+        F.lit(None).cast("string").alias("parent_sub"), F.lit(9).alias("content_ref"), F.to_json(F.struct(F.concat_ws("-", "doc", "turn").alias("guid"))).alias("content"),
+    )
+    return merge.subdocuments(merge.integrate(rows), current=False).select("doc", F.array_join("guids", ",").alias("guids"))
 
 
 @query(with_ops("""SELECT a.doc, md5(a.sv) AS etag, a.sv <> coalesce(b.sv, '') AS changed FROM (SELECT doc, string_agg(client || ':' || s, ',' ORDER BY client DESC) AS sv FROM (SELECT doc, client, max(clock + len) AS s FROM ops GROUP BY ALL) GROUP BY doc) a
@@ -238,10 +272,21 @@ def etag_changed(spark, d):
     return now.join(then, "doc", "left").select("doc", F.md5("sv").alias("etag"), (F.col("sv") != F.coalesce("had", F.lit(""))).alias("changed"))
 
 
-@query(with_ops("SELECT doc, md5(string_agg(client || ':' || clock || ':' || len, ',' ORDER BY client, clock)) AS fingerprint FROM ops GROUP BY doc"))
+@query(with_ops("""SELECT doc, md5(string_agg(client || ':' || digest, ',' ORDER BY client)) AS fingerprint FROM (SELECT doc, client, md5(string_agg(digest, ',' ORDER BY span)) AS digest FROM
+    (SELECT doc, client, clock // 1024 AS span, md5(string_agg(clock || ':' || len, ',' ORDER BY clock)) AS digest FROM ops GROUP BY ALL) GROUP BY ALL) GROUP BY doc"""))
 def doc_fingerprint(spark, d):
-    rows = F.sort_array(F.collect_list(F.struct("client", "clock", "len")))
-    return ops(spark, d).groupBy("doc").agg(F.md5(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["client"], r["clock"], r["len"])), ",")).alias("fingerprint"))
+    return intervals.digests(ops(spark, d))
+
+
+@query(with_ops("SELECT doc, seq, client, clock + len AS state FROM ops"))
+def update_vector(spark, d):
+    return intervals.update_vector(ops(spark, d))
+
+
+@query(with_ops("""SELECT doc, client, odd, min(clock) AS clock, sum(len) AS len, count(*) AS parts FROM (SELECT *, sum(new) OVER (PARTITION BY doc, client ORDER BY clock) AS run FROM
+    (SELECT *, k % 2 AS odd, CASE WHEN lag(k % 2) OVER (PARTITION BY doc, client ORDER BY clock) = k % 2 THEN 0 ELSE 1 END AS new FROM ops)) GROUP BY doc, client, odd, run"""))
+def coalesced_runs(spark, d):
+    return intervals.coalesced(ops(spark, d).withColumn("odd", F.col("k") % 2), "odd")
 
 
 # -- the store ---------------------------------------------------------------------------------------
@@ -260,12 +305,12 @@ def append_unnest(spark, d):
 
 @query(f"WITH {LOG} SELECT state, batch, count(*) AS n FROM (SELECT state, (row_number() OVER (PARTITION BY state ORDER BY seq) - 1) // 256 AS batch FROM log) GROUP BY ALL")
 def micro_batches(spark, d):
-    return rooms.batches(log(spark, d), 256, ("state",), ("seq",)).groupBy("state", "batch").agg(F.count(F.lit(1)).alias("n"))
+    return rooms.batches(log(spark, d), 256, ("state",), ("seq",), F.floor(F.col("seq") / 100_000)).groupBy("state", "batch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {LOG} SELECT state, seq, n FROM (SELECT state, seq, row_number() OVER (PARTITION BY state ORDER BY seq) AS n FROM log) WHERE n % 500 = 0")
 def compaction_points(spark, d):
-    return rooms.trigger_points(log(spark, d), 500, ("state",), ("seq",)).select("state", "seq", "n")
+    return rooms.trigger_points(log(spark, d), 500, ("state",), ("seq",), F.floor(F.col("seq") / 100_000)).select("state", "seq", "n")
 
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT min(k), min(n) FROM (SELECT c_custkey AS k, c_name AS n FROM customer WHERE c_custkey % 3 = 0) GROUP BY k")
@@ -332,9 +377,9 @@ def prune_topk(spark, d):
     return store.prune(log(spark, d), 5, order="seq").select("doc_id", "seq")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders UNION ALL SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders UNION ALL SELECT CAST(l_orderkey AS VARCHAR) FROM lineitem")
 def referenced_keys(spark, d):
-    return store.referenced_keys((read(spark, d, "orders"), "o_orderkey"), (read(spark, d, "lineitem").where("l_linenumber = 1"), "l_orderkey"))
+    return store.referenced_keys((read(spark, d, "orders"), "o_orderkey"), (read(spark, d, "lineitem"), "l_orderkey"))
 
 
 @query("""SELECT CAST(k AS VARCHAR) AS key, state FROM (SELECT k, 'orphan' AS state FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')
@@ -345,6 +390,24 @@ def orphans_except(spark, d):
     return store.audit_keys(named, there)
 
 
+@query(f"WITH {LOG} SELECT doc_id, count(*) AS versions FROM log GROUP BY ALL")
+def version_counts(spark, d):
+    return store.version_counts(log(spark, d))
+
+
+@query(f"WITH {LOG} SELECT doc_id, 'versions/' || doc_id || '/' || seq AS blob_key FROM log WHERE state = 'O' AND doc_id IN (SELECT c_custkey FROM customer) AND doc_id NOT IN (SELECT doc_id FROM log WHERE created_at >= TIMESTAMP '1998-01-01')")
+def idle_version_keys(spark, d):
+    docs = documents(spark, d).withColumn("updated_at", F.lit("1995-01-01").cast("timestamp_ntz"))
+    versions = log(spark, d).withColumn("blob_key", F.when(F.col("state") == "O", store.blob_key("versions", F.col("doc_id"), F.col("seq"))).otherwise(""))
+    return store.idle_version_keys(versions, docs, log(spark, d), F.lit("1998-01-01").cast("timestamp_ntz"))
+
+
+@query(f"WITH {LOG} SELECT c_custkey AS doc_id, 'snapshots/' || c_custkey || '/7' AS snapshot_key FROM customer WHERE c_custkey % 2 = 0 AND c_custkey IN (SELECT doc_id FROM log)")
+def superseded_keys(spark, d):
+    docs = documents(spark, d).withColumn("snapshot_key", F.when(F.col("doc_id") % 2 == 0, store.blob_key("snapshots", F.col("doc_id"), F.lit(7))).otherwise(""))
+    return store.superseded_keys(docs, log(spark, d))
+
+
 @query(f"WITH {LOG} SELECT doc_id, arg_min(state, (created_at, seq)) AS owner FROM log GROUP BY doc_id")
 def first_owner(spark, d):
     return store.first_owners(log(spark, d), "doc_id", "state", "created_at", "seq")
@@ -358,10 +421,9 @@ def sequence_sanity(spark, d):
 # -- rooms -------------------------------------------------------------------------------------------
 
 
-@query(with_ops("SELECT o.doc, o.client, m.client AS \"to\", count(*) AS n FROM (SELECT * FROM ops WHERE k % 7 = 0) o JOIN (SELECT DISTINCT doc, client FROM ops WHERE client % 10 = 0) m ON o.doc = m.doc AND o.client <> m.client GROUP BY ALL"))
+@query(with_ops("SELECT o.doc, o.client, count(*) AS sent, any_value(m) - 1 AS receivers, count(*) * (any_value(m) - 1) AS deliveries FROM ops o JOIN (SELECT doc, count(DISTINCT client) AS m FROM ops GROUP BY ALL) s ON o.doc = s.doc GROUP BY ALL"))
 def fanout_pairs(spark, d):
-    members = ops(spark, d).where("client % 10 = 0").select("doc", "client").distinct()
-    return rooms.fan_out(ops(spark, d).where("k % 7 = 0"), members).groupBy("doc", "client", "to").agg(F.count(F.lit(1)).alias("n"))
+    return rooms.deliveries(ops(spark, d), ops(spark, d).select("doc", "client"))
 
 
 @query(with_ops("SELECT doc, count(*) FILTER (client % 3 <> 1) AS applied, count(*) FILTER (client % 3 = 1) AS own FROM ops GROUP BY ALL"))
@@ -397,7 +459,7 @@ def presence_sessions(spark, d):
 
 @query(_sessions_sql(300, "doc"))
 def idle_sessions(spark, d):
-    return rooms.sessions(ops(spark, d), 300, ("doc",))
+    return rooms.sessions(ops(spark, d), 300, ("doc",), block_seconds=86_400)
 
 
 @query(with_ops("SELECT doc, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n FROM ops GROUP BY ALL"))
@@ -433,9 +495,42 @@ def per_key_cap(spark, d):
     return rooms.admitted(ops(spark, d), 3, ("doc", "client"), ("ts", "seq")).select("doc", "client", "seq")
 
 
-@query(with_ops("SELECT doc, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM (SELECT doc, coalesce(ts - lag(ts) OVER (PARTITION BY doc, client ORDER BY ts, seq) < to_seconds(43200), false) AS hit FROM ops) GROUP BY ALL"))
+@query(f"""WITH RECURSIVE {OPS}, o AS (SELECT doc, client, ts, row_number() OVER (PARTITION BY doc, client ORDER BY ts, seq) AS rn FROM ops),
+    f AS (SELECT doc, client, rn, ts AS fetched, false AS hit FROM o WHERE rn = 1
+    UNION ALL SELECT o.doc, o.client, o.rn, CASE WHEN o.ts - fetched < to_seconds(43200) THEN fetched ELSE o.ts END, o.ts - fetched < to_seconds(43200) FROM f JOIN o ON o.doc = f.doc AND o.client = f.client AND o.rn = f.rn + 1)
+    SELECT doc, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses FROM f GROUP BY ALL""")
 def cache_hits(spark, d):
-    return rooms.cache_hits(ops(spark, d), 43200, ("doc", "client"), ("ts", "seq")).groupBy("doc").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+    return rooms.cache_hits(ops(spark, d), 43200, ("doc", "client")).groupBy("doc").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
+
+
+@query(with_ops(f"SELECT doc, client, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) END AS state, seen FROM (SELECT doc, client, arg_max(k, (clock)) AS k, max(ts) AS seen FROM ops GROUP BY ALL) WHERE k % 2 = 0 OR seen > TIMESTAMP '{NOW}' - INTERVAL 2 DAY"))
+def presence_forgotten(spark, d):
+    last = ops(spark, d).groupBy("doc", "client").agg(F.max_by("k", "clock").alias("k"), F.max("ts").alias("seen"))
+    states = last.select("doc", "client", F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).alias("state"), "seen")
+    return rooms.forgotten(states, F.lit(NOW).cast("timestamp_ntz"), "2 days", 1 << 20)
+
+
+@query(with_ops("SELECT doc, client, clock FROM (SELECT doc, client, max(clock) AS clock, arg_max(k, clock) AS k FROM ops GROUP BY ALL) WHERE k % 2 = 0 AND client % 3 = 0"))
+def presence_disconnect(spark, d):
+    last = ops(spark, d).groupBy("doc", "client").agg(F.max_by("k", "clock").alias("k"), F.max("clock").alias("clock"))
+    states = last.withColumn("state", F.when(F.col("k") % 2 == 0, F.col("k").cast("string")))
+    return rooms.disconnect(states, ops(spark, d).where("client % 3 = 0"))
+
+
+@query(with_ops("""SELECT u.doc, u.client, u.clock, u.state, u.sender FROM (SELECT doc, client, max(clock) AS clock, CAST(arg_max(k, clock) AS VARCHAR) AS state, arg_max(seq, clock) AS sender FROM ops WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY ALL) u
+    LEFT JOIN (SELECT doc, client, max(clock) AS held FROM ops WHERE ts < TIMESTAMP '2024-01-15' GROUP BY ALL) h ON u.doc = h.doc AND u.client = h.client WHERE u.clock > coalesce(held, 0)"""))
+def presence_ingest(spark, d):
+    early = F.col("ts") < F.lit(CUTOFF).cast("timestamp_ntz")
+    rows = ops(spark, d).withColumns({"state": F.col("k").cast("string"), "sender": F.col("seq")})
+    return rooms.ingest(rooms.presence(rows.where(early)), rows.where(~early))
+
+
+@query(f"""WITH RECURSIVE {OPS}, o AS (SELECT doc, client, seq, epoch_us(ts) AS t, k % 7 = 0 AS durable, row_number() OVER (PARTITION BY doc, client ORDER BY ts, seq) AS rn FROM ops),
+    f AS (SELECT doc, client, seq, rn, t AS first, CAST(0 AS BIGINT) AS batch, 1 AS n, durable AS shut FROM o WHERE rn = 1
+    UNION ALL SELECT o.doc, o.client, o.seq, o.rn, CASE WHEN shut OR n >= 3 OR o.t - first >= 86400000000 THEN o.t ELSE first END, CASE WHEN shut OR n >= 3 OR o.t - first >= 86400000000 THEN batch + 1 ELSE batch END, CASE WHEN shut OR n >= 3 OR o.t - first >= 86400000000 THEN 1 ELSE n + 1 END, o.durable
+    FROM f JOIN o ON o.doc = f.doc AND o.client = f.client AND o.rn = f.rn + 1) SELECT doc, client, seq, batch FROM f""")
+def durable_flushes(spark, d):
+    return rooms.flushes(ops(spark, d).withColumn("durable", F.col("k") % 7 == 0), 3, 86_400_000, ("doc", "client"))
 
 
 @query("SELECT c_nationkey, c_custkey FROM (SELECT *, sum(length(c_name) * 100) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey ROWS UNBOUNDED PRECEDING) AS running FROM customer) WHERE running > 20000")
@@ -477,7 +572,7 @@ def latency_percentiles(spark, d):
 def latency_match(spark, d):
     sent = ops(spark, d).where("k % 2 = 0").select(F.col("client").alias("key"), "ts")
     received = ops(spark, d).where("k % 2 = 1").select(F.col("client").alias("key"), "ts", "seq")
-    return metrics.match_latency(sent, received, "12 hours").select("seq", "micros")
+    return metrics.match_latency(sent, received, 43_200).select("seq", "micros")
 
 
 @query(with_ops("SELECT doc, count(DISTINCT client) AS clients, count(*) AS sent, count(*) * (count(DISTINCT client) - 1) AS expected FROM ops GROUP BY ALL"))
@@ -485,6 +580,45 @@ def delivery_ratio(spark, d):
     return metrics.delivery(ops(spark, d))
 
 
+SETS_SQL = " UNION ALL ".join(f"SELECT '{name}' AS name, doc, '{le}' AS le, count(*) FILTER (value * {scale} <= CAST('{le}' AS DOUBLE)) AS n FROM ops GROUP BY ALL" for name, (start, factor, n) in metrics.BUCKET_SETS.items() for scale in [start] for le in metrics.bounds(start, factor, n))
+
+
+@query(with_ops(SETS_SQL))
+def histogram_sets(spark, d):
+    """The fixed bucket sets, each over values of its own scale."""
+    out = None
+    for name, (start, factor, n) in metrics.BUCKET_SETS.items():
+        les = metrics.bounds(start, factor, n)
+        each = metrics.histogram(ops(spark, d).withColumn("scaled", F.col("value") * float(start)), "scaled", les, ("doc",)).where(F.col("le") < float("inf"))
+        names = F.create_map(*[F.lit(x) for le in les for x in (float(le), str(le))])
+        rows = each.select(F.lit(name).alias("name"), "doc", F.element_at(names, F.col("le")).alias("le"), "n")
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query(with_ops("SELECT doc, round(sum(value) / sum(len), 9) AS ratio FROM ops GROUP BY ALL"))
+def ratio_of_rates(spark, d):
+    sums = lambda c: ops(spark, d).groupBy("doc").agg(F.sum(c).alias("value"))
+    return metrics.ratio(sums("value"), sums("len"), ("doc",)).select("doc", F.round("ratio", 9).alias("ratio"))
+
+
+@query(with_ops("SELECT client, count(*) AS n FROM ops GROUP BY client HAVING count(*) > 2 AND client IN (SELECT client FROM ops GROUP BY client HAVING sum(len) > 20)"))
+def vector_and(spark, d):
+    each = ops(spark, d).groupBy("client").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("units"))
+    return metrics.both(each.where("n > 2").select("client", "n"), each.where("units > 20"), ("client",))
+
+
+@query(with_ops("SELECT client, doc, sum(k % 3) AS value FROM ops WHERE regexp_full_match(doc, 'c.*|view') GROUP BY ALL HAVING sum(k % 3) = 0"))
+def down_targets(spark, d):
+    return metrics.at_zero(ops(spark, d).groupBy("client", "doc").agg(F.sum(F.col("k") % 3).alias("value")), "doc", "c.*|view")
+
+
+@query(with_ops("SELECT sum(published) AS published, sum(received) AS received, sum(received) > sum(published) * 2 AS looped FROM (SELECT client % 3 AS node, count(*) FILTER (k % 2 = 0) AS published, count(*) FILTER (k % 2 = 1) AS received FROM ops GROUP BY ALL)"))
+def replica_totals(spark, d):
+    each = ops(spark, d).groupBy((F.col("client") % 3).alias("node")).agg(F.count_if(F.col("k") % 2 == 0).alias("published"), F.count_if(F.col("k") % 2 == 1).alias("received"))
+    return metrics.replica_totals(each, 3)
+
+
 @query(with_ops("SELECT doc, min(step) AS micros FROM (SELECT doc, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY doc ORDER BY ts, seq) AS step FROM ops) WHERE step > 0 GROUP BY ALL"))
 def clock_resolution(spark, d):
     return metrics.clock_resolution(ops(spark, d), ("doc",))
