@@ -686,6 +686,29 @@ def client_ips(spark, d):
     return ops(spark, d).select("seq", scalars.client_ip(seen, peer_ip, ["10.0.0.0/8"]).alias("ip"))
 
 
+@query(with_ops("SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM ops"))
+def event_times(spark, d):
+    return ops(spark, d).select("seq", scalars.rfc3339(F.col("ts")).alias("at"))
+
+
+@query(with_ops("SELECT seq, k % 4 <> 0 AND k % 3 <> 0 AS refused FROM ops"))
+def read_only_refused(spark, d):
+    payload = F.when(F.col("k") % 3 == 0, F.lit(b"\x00\x00")).otherwise(F.lit(b"\x01\x00"))
+    return ops(spark, d).select("seq", scalars.write_refused(F.when(F.col("k") % 4 == 0, "write").otherwise("read"), payload).alias("refused"))
+
+
+@query(with_ops(f"SELECT doc, CASE WHEN s < 300 THEN 'sent' ELSE 'failed' END AS outcome, CASE WHEN s < 300 THEN NULL WHEN s >= 500 THEN 'server_error' ELSE 'client_error' END AS reason, s >= 500 AS retryable, count(*) AS n FROM (SELECT doc, {STATUS_SQL} AS s FROM ops) GROUP BY ALL"))
+def delivery_outcomes(spark, d):
+    each = ops(spark, d).select("doc", scalars.delivery_outcome(F.expr(STATUS_SQL), F.lit(None).cast("string")).alias("x"))
+    return each.groupBy("doc", "x.outcome", "x.reason", "x.retryable").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_ops("SELECT seq, k % 3 <> 2 AS fresh FROM ops"))
+def etag_headers(spark, d):
+    header = F.expr("element_at(array('*', concat('\"x\", W/\"', client, '\"'), concat('\"', client, '0\"')), cast(k % 3 as int) + 1)")
+    return ops(spark, d).select("seq", scalars.etag_matches(header, F.col("client").cast("string")).alias("fresh"))
+
+
 # -- the wire ----------------------------------------------------------------------------------------
 
 

@@ -46,6 +46,32 @@ def test_client_ip(spark):
     assert [r["ip"] for r in got] == [c[2] for c in cases]
 
 
+def test_client_ip_of_both_families(spark):
+    trusted = ["loopback", "private", "2001:db8::/32"]
+    cases = [("2001:db9::5, 2001:db8::1", "::1", "2001:db9::5"), ("fd00::1, 9.9.9.9", "fc00::2", "9.9.9.9"), ("1.1.1.1", "::ffff:10.0.0.1", "1.1.1.1"), ("1.1.1.1", "2001:db9::1", "2001:db9::1"), ("x, 172.16.0.9", "127.0.0.1", "x"), ("1.1.1.1", "172.32.0.1", "172.32.0.1")]
+    got = values(spark, [c[:2] for c in cases], "f string, p string", ip=S.client_ip(F.col("f"), F.col("p"), trusted))
+    assert [r["ip"] for r in got] == [c[2] for c in cases]
+
+
+def test_reasons_are_cut_by_bytes(spark):
+    texts = ["aé漢🎉b", "é" * 5, "abc", "", None]
+    for most in range(1, 12):
+        got = values(spark, [(t,) for t in texts], "t string", r=S.clean_reason(F.col("t"), most))
+        assert [r["r"] for r in got] == [None if t is None else t.encode()[:most].decode(errors="ignore") for t in texts]
+
+
+def test_grant_lifetimes(spark):
+    args = (F.lit("d"), F.lit("d"), F.lit("write"), F.col("exp"), F.lit(100))
+    got = values(spark, [(200, 90), (200, 140), (5000, 90), (60, 0)], "exp long, nbf long", g=S.grant(*args, not_before=F.col("nbf"), longest=3600))
+    assert [r["g"] for r in got] == ["write", None, None, None]
+
+
+def test_cache_expires_from_the_fetch(spark):
+    rows = [("a", n, dt.datetime(2024, 1, 1, 0, 0, t)) for n, t in enumerate((0, 6, 9, 12, 13))]
+    got = rooms.cache_hits(spark.createDataFrame(rows, "doc string, seq long, ts timestamp_ntz"), 10, ("doc",)).orderBy("seq").collect()
+    assert [r.hit for r in got] == [False, True, True, False, True]
+
+
 def test_token_expiry(spark):
     token = "h." + base64.urlsafe_b64encode(json.dumps({"exp": 1234}).encode() + b" " * 2).decode() + ".s"
     assert values(spark, [(token,)], "t string", e=S.token_expiry(F.col("t")))[0]["e"] == 1234
