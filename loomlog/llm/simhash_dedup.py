@@ -13,8 +13,8 @@ each piece, never all pairs. Components of these links give the groups.
 pairs differ in ten bits or so, and blocks narrow enough for a pigeonhole would be three bits each, which tell nothing apart. The
 blocks are those of another fingerprint: 32 of three minima each, under other orders of the shingles, of the rarer 60 % of a set, since passages
 that many documents hold would file these together. Sets of similarity 0.8 whose differences all are rare
-share none of them 3 times in a million, more similar ones less often. Pairs of a file are sieved by a SimHash of the sets in
-256 bits (39 differ on average at 0.8, 66 may), and verified exactly.
+share none of them 3 times in a million, more similar ones less often. Pairs with a file's first row are sieved by a SimHash of the sets in
+256 bits (39 differ on average at 0.8, 66 may), and verified exactly; files which that leaves open are compared whole and exactly in a task.
 
 Defined cases: null and empty texts have the fingerprint zero and link like any other; shorter texts
 than one shingle are hashed whole; a null id never becomes a component id unless its whole component
@@ -96,12 +96,9 @@ def _files(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(work, "mask long, value long, fp long")
 
 
-def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For each of a file's fingerprints, the place of the first one of its piece."""
-    n = len(fps)
+def settled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n places the first one of its piece, where links (a, b) go both ways."""
     label = np.arange(n)
-    near = [np.nonzero(np.bitwise_count(fps[i : i + 256, None] ^ fps[None, :]) <= radius) for i in range(0, n, 256)]
-    a, b = np.concatenate([x + 256 * i for i, (x, _) in enumerate(near)]), np.concatenate([y for _, y in near])
     while True:
         low = label.copy()
         np.minimum.at(low, a, label[b])
@@ -111,6 +108,13 @@ def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
         label = low
 
 
+def linked(fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """For each of a file's fingerprints, the place of the first one of its piece."""
+    n = len(fps)
+    near = [np.nonzero(np.bitwise_count(fps[i : i + 256, None] ^ fps[None, :]) <= radius) for i in range(0, n, 256)]
+    return settled(n, np.concatenate([x + 256 * i for i, (x, _) in enumerate(near)]), np.concatenate([y for _, y in near]))
+
+
 def _links(files: DataFrame, radius: int) -> DataFrame:
     """(a, b) from rows with an array `fps` of a bounded number of fingerprints."""
 
@@ -268,42 +272,63 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return joined.select("a", "b", "s", "t").mapInArrow(work, "a long, b long")
 
 
-def _pairs(files: DataFrame, similarity: float, radius: int) -> DataFrame:
-    """(a, b): pairs of a file's rows (of its two parts, where it is cut) that can be similar and are of different pieces so far."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share: frequent shingles by products of blocks, the others pair by pair."""
+    n, size = len(sets), 4096
+    shingles, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])[np.argsort(place, kind="stable")]
+    held = np.repeat(count, count)
+    out = np.zeros(n * n)
+    for k in range(2, 17):
+        of = row[held == k].reshape(-1, k)
+        for i in range(0, len(of), size):
+            part = of[i : i + size]
+            out += np.bincount((part[:, :, None] * n + part[:, None, :]).ravel(), minlength=n * n)
+    out = out.reshape(n, n)
+    row, column = row[held > 16], np.repeat(np.arange((count > 16).sum()), count[count > 16])
+    for i in range(0, int((count > 16).sum()), size):
+        to = slice(*np.searchsorted(column, [i, i + size]))
+        part = np.zeros((n, size), np.float32)
+        part[row[to], column[to] - i] = 1
+        out += part @ part.T
+    return out
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in batch.column(0):
-                n, size, root = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in ("n", "size", "root"))
-                order = np.argsort(n)
-                n, size, root = n[order], size[order], root[order]
-                fps = [rows.values.field("fp").field(k).to_numpy(zero_copy_only=False)[order].view(np.uint64) for k in range(4)]
-                for i in range(0, len(n), 256):
-                    to = slice(i, i + 256)
-                    near = (sum(np.bitwise_count(fp[to, None] ^ fp[None, i:]).astype(np.int16) for fp in fps) <= radius) | (np.minimum(size[to, None], size[None, i:]) < 16)
-                    near &= (root[to, None] != root[None, i:]) & (n[to, None] < n[None, i:])
-                    near &= np.minimum(size[to, None], size[None, i:]) >= similarity * np.maximum(size[to, None], size[None, i:]) - 1e-9
-                    x, y = np.nonzero(near)
-                    yield pa.RecordBatch.from_arrays([pa.array(n[i:][y]), pa.array(n[i:][x])], ["a", "b"])
-
-    return files.select("rows").mapInArrow(work, "a long, b long")
+
+def _links_of_files(files: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) from rows (s, i, j, n, root, hashes): links between the rows of a file (s, i, j) that are similar and of different pieces so far.
+
+    A file is compared in the task that holds it, which passes on a link a row and never the pairs.
+    """
+
+    def work(file: pa.Table) -> pa.Table:
+        n, root = (file.column(k).to_numpy() for k in ("n", "root"))
+        order = np.argsort(n)
+        n, root = n[order], root[order]
+        sets = [file.column("hashes")[i].values.to_numpy(zero_copy_only=False) for i in order.tolist()]
+        size, both = np.array([len(x) for x in sets]), overlaps(sets)
+        a, b = np.nonzero(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9)
+        low = settled(len(n), a, b)
+        new = root != root[low]
+        return pa.table({"a": n[new], "b": n[low[new]]})
+
+    return files.groupBy("s", "i", "j").applyInArrow(work, "a long, b long")
 
 
 def _open(filed: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of files that are of several pieces by the links found, with their piece's root and the file's size."""
     roots = components(found).withColumnRenamed("node", "n")
     pieces = stage(filed.join(roots, "n", "left").select("s", "n", "fp", "size", F.coalesce("root", "n").alias("root")), "pieces")
-    several = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("n", "fp", "size", "root")).alias("low"), F.count(F.lit(1)).alias("m"))
-    return pieces.join(stage(several.where("x <> y").select("s", "low", "m"), "open-files"), "s")
+    several = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("n", "fp", "size", "root")).alias("low"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
+    return pieces.join(stage(several.where("x <> y").select("s", "low", "m", "total"), "open-files"), "s")
 
 
-def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, group: int = 1024) -> DataFrame:
+def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, group: int = 1024, weight: int = 1 << 21) -> DataFrame:
     """(a, b): links whose components are those of all pairs of rows that are similar and share a file.
 
     numbered has n, fp, size and keys (the blocks by which a row is filed). First each row is compared with the smallest row of all
     its files, which settles a crowd of near copies by one comparison a row; then rows of files that are still of several
-    pieces are compared with their files' first rows, and then all pairs of different pieces are. A file of more than `group`
-    rows is cut into parts, and each two parts go to a task of their own.
+    pieces are compared with their files' first rows, and files that are open even then get their rows' sets of shingles, to be
+    compared whole. A file of more than `group` rows or `weight` shingles is cut into parts, and each two parts go to a task of their own.
     """
     filed = numbered.select(F.explode("keys").alias("s"), "n", "fp", "size")
     lows = stage(filed.groupBy("s").agg(F.min(F.struct("n", "fp", "size")).alias("low"), F.max("n").alias("high")).where("low.n <> high").select("s", "low"), "shared")
@@ -317,22 +342,30 @@ def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity:
     found = found.unionAll(stage(_verified(more, texts, words, similarity), "more-links"))
     # a pair of rows only is settled by now
     open_ = _open(open_.where("m > 2").select("s", "n", "fp", "size"), found)
-    parts = F.ceil(F.col("m") / group).cast("int")
+    open_ = stage(open_.select("s", "n", "root", "m", "total"), "open-rows")
+    some = texts.join(open_.select("n").distinct(), "n", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 100):
+                b = batch.slice(i, 100)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shingle_set(t.as_py() or "", words).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["n", "hashes"])
+
+    held = stage(some.select("n", "text").mapInArrow(sets, "n long, hashes array<long>"), "open-sets")
+    parts = F.greatest(F.ceil(F.col("m") / group), F.ceil(F.col("total") / weight)).cast("int")
     own = F.pmod(F.xxhash64("n"), parts).cast("int")
     others = F.explode(F.sequence(F.lit(0), parts - 1)).alias("other")
-    dealt = open_.select("s", F.struct("n", "fp", "size", "root").alias("row"), own.alias("own"), others).select("s", "row", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    files = dealt.groupBy("s", "i", "j").agg(F.collect_list("row").alias("rows"))
-    tried = first.unionAll(more)
-    rest = stage(_pairs(files, similarity, radius).distinct().join(tried, ["a", "b"], "left_anti"), "other-pairs")
-    return found.unionAll(stage(_verified(rest, texts, words, similarity), "other-links"))
+    dealt = open_.select("s", "n", "root", own.alias("own"), others).select("s", "n", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return found.unionAll(stage(_links_of_files(dealt.join(held, "n"), similarity).distinct(), "other-links"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS, group: int = 1024, weight: int = 1 << 21) -> DataFrame:
     """The rows of docs with one of each near-duplicate group: that with the smallest id, null ids last.
 
     Rows are near duplicates if the Jaccard similarity of their sets of word shingles is at least `similarity`; groups are the
     components of such pairs. Rows are told apart by a number of their own, written with them, so that rows which repeat an id are
-    judged each; of rows that tie on the smallest id one stays. Rows come back with the columns of docs.
+    judged each; of rows that tie on the smallest id one stays. A task compares at most about 2 x `group` rows and 2 x `weight`
+    shingles (or two rows, if these have more). Rows come back with the columns of docs.
     """
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("n"))
     made = [StructField("fp", StructType([StructField(f"f{k}", LongType()) for k in range(4)])), StructField("size", LongType()), StructField("keys", ArrayType(LongType()))]
@@ -358,7 +391,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
                 )
 
     numbered = stage(rows.mapInArrow(work, schema), "numbered")
-    roots = components(similar_links(numbered, numbered.select("n", F.col("row").getField(text_col).cast("string").alias("text")), words, similarity, radius))
+    roots = components(similar_links(numbered, numbered.select("n", F.col("row").getField(text_col).cast("string").alias("text")), words, similarity, radius, group, weight))
     named = roots.select(F.col("node").alias("n"), "root").unionAll(roots.select(F.col("root").alias("n"), "root").distinct())
     held = stage(numbered.select("id", "n").join(named, "n").select("id", "n", "root"), "near-groups")
     first = held.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "n")).alias("first"))

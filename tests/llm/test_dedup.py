@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,18 @@ def test_keep_one_matches_brute_force(spark):
     want = near_by_brute_force(texts)
     assert 100 < len(want) < len(texts) - 60
     assert {r.doc_id for r in simhash_dedup.keep_one(docs_of(spark, texts)).collect()} == want
+    cut = simhash_dedup.keep_one(docs_of(spark, texts), group=8, weight=500)
+    assert {r.doc_id for r in cut.collect()} == want
+
+
+def test_overlaps():
+    """Rare shingles, shingles of all sets, more of them than a block, and sets that share none."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 5000)
+    sets = [np.unique(np.concatenate([rng.choice(common, 3000), rng.integers(0, 300, rng.integers(0, 40))])) for _ in range(40)]
+    sets += [np.array([7]), np.array([-9]), np.array([-9])]
+    got = simhash_dedup.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
 
 
 def test_pipeline_stage_leaves_no_near_copy(spark):
