@@ -315,11 +315,16 @@ def _links_of_files(files: DataFrame, similarity: float) -> DataFrame:
 
 
 def _open(filed: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of files that are of several pieces by the links found, with their piece's root and the file's size."""
+    """The rows of files that are of several pieces by the links found, with their piece's root and the file's size.
+
+    Of files that hold the same rows, which 128 bits of hash tell, one is enough.
+    """
     roots = components(found).withColumnRenamed("node", "n")
     pieces = stage(filed.join(roots, "n", "left").select("s", "n", "fp", "size", F.coalesce("root", "n").alias("root")), "pieces")
-    several = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("n", "fp", "size", "root")).alias("low"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"))
-    return pieces.join(stage(several.where("x <> y").select("s", "low", "m", "total"), "open-files"), "s")
+    marks = [F.bit_xor(F.xxhash64("n")).alias("mark"), F.bit_xor(F.xxhash64(F.lit("n"), F.col("n"))).alias("other_mark")]
+    several = pieces.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min(F.struct("n", "fp", "size", "root")).alias("low"), F.count(F.lit(1)).alias("m"), F.sum("size").alias("total"), *marks)
+    once = several.where("x <> y").groupBy("mark", "other_mark", "m").agg(F.min("s").alias("s"), F.first("low").alias("low"), F.first("total").alias("total"))
+    return pieces.join(stage(once.select("s", "low", "m", "total"), "open-files"), "s")
 
 
 def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity: float, radius: int, group: int = 1024, weight: int = 1 << 21) -> DataFrame:
@@ -331,7 +336,8 @@ def similar_links(numbered: DataFrame, texts: DataFrame, words: int, similarity:
     compared whole. A file of more than `group` rows or `weight` shingles is cut into parts, and each two parts go to a task of their own.
     """
     filed = numbered.select(F.explode("keys").alias("s"), "n", "fp", "size")
-    lows = stage(filed.groupBy("s").agg(F.min(F.struct("n", "fp", "size")).alias("low"), F.max("n").alias("high")).where("low.n <> high").select("s", "low"), "shared")
+    several = filed.groupBy("s").agg(F.min("n").alias("n"), F.max("n").alias("high")).where("n <> high").select("s", "n")
+    lows = stage(several.join(numbered.select("n", "fp", "size"), "n").select("s", F.struct("n", "fp", "size").alias("low")), "shared")
     shared = stage(filed.join(lows, "s"), "filed")
     apart = sum((F.bit_count(F.col(f"fp.f{k}").bitwiseXOR(F.col(f"low.fp.f{k}"))) for k in range(4)), F.lit(0))
     close = ((apart <= radius) | (F.least("size", "low.size") < 16)) & (F.least("size", "low.size") >= similarity * F.greatest("size", "low.size") - 1e-9)
