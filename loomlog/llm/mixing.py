@@ -187,9 +187,14 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_co
     docs = docs if carry else docs.select(id_col, text_col)
     chance = f"{_own(docs)}_chance"
     scored = with_posteriors(docs, tables, text_col).withColumn(chance, F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)) / F.lit(float(1 << 30)))
-    # written once: the fit reads two narrow columns of it, and the result adds the rate to it
-    scored = stage(scored if carry else scored.drop(text_col), "memberships")
-    members = scored.select("n_tokens", "posterior")
+    # what the fit reads many times is written once; texts are not written again but scored a second time for the result
+    if carry:
+        members = stage(scored.select("n_tokens", "posterior"), "memberships")
+        # always true, but not foldable: keeps the optimizer from writing the scores out again wherever the posterior is read
+        scored = scored.withColumn("posterior", F.when(F.monotonically_increasing_id() >= 0, F.col("posterior")))
+    else:
+        scored = stage(scored.drop(text_col), "memberships")
+        members = scored.select("n_tokens", "posterior")
     targets = domain_targets(members, [weights.get(d, 0.0) for d in tables], budget, never_below)
     steps, mass, _ = fit_rates(members, targets, lowest, passes, raising=never_below and lowest >= 1)
     names = F.array(*[F.lit(d) for d in tables])
