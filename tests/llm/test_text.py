@@ -226,6 +226,15 @@ def test_mixing_never_below_meets_its_shares(spark):
         assert abs(got[k] / sum(got) - TARGETS[lang]) < 1e-5
 
 
+def test_mixing_of_whole_rows_is_that_of_ids(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known, weights = docs.select("doc_id", "lang"), {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}
+    whole, ids = (mixing.mix(docs, known, weights, passes=5, carry=carry) for carry in (True, False))
+    assert set(docs.columns) < set(whole.columns)
+    assert sorted(whole.select(ids.columns).collect()) == sorted(ids.collect())
+
+
 def test_mixing_reports_the_gap_left(spark):
     members = spark.createDataFrame([(10, [0.9, 0.1]), (10, [0.2, 0.8])], "n_tokens long, posterior array<double>")
     with pytest.warns(UserWarning, match="miss the targets"):
