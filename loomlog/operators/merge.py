@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.sources.staging import stage
+
 ITEMS = "doc string, parent string, parent_sub string, position long, client long, clock long, len long, content_ref int, content string, deleted boolean, current boolean, kind string, pending boolean, origin struct<client: long, clock: long>, right_origin struct<client: long, clock: long>"
 COUNTED = (2, 3, 4, 5, 7, 8, 9)
 
@@ -273,9 +275,48 @@ def maps(items: DataFrame) -> DataFrame:
     return live(items).where("parent_sub is not null and current").select("doc", "parent", F.col("parent_sub").alias("key"), "content_ref", "content")
 
 
+def current_writes(structs: DataFrame) -> DataFrame:
+    """(doc, parent, key, content_ref, content): the current value of each key, from decoded structs and without placing them.
+
+    For maps as peers write them: a write's origin is the write that it replaces, and nothing is to its right. Then the writes of a
+    key are a forest, the greatest client's (of these its first) is the last of those with one origin, and the current write is
+    the one at which a walk down these ends. Per origin an aggregation leaves one write; pointers to the next one are doubled
+    until each key's walk is over, so that the steps are as many as the logarithm of its writes, and neither a document nor a key needs to
+    fit a task. Structs that wait for others must be left out before (`intervals.pending`); a write in a deleted range goes.
+    """
+    from loomlog.operators.intervals import covering, merge_ranges
+
+    given = structs.where("error is null and doc is not null")
+    write = F.struct("client", F.expr("clock + len - 1").alias("clock"), "content_ref", "content").alias("write")
+    order = F.struct("client", -F.col("clock"))
+    sets = given.where("kind = 'Item'")
+    owner = F.coalesce(F.concat(F.lit("#"), "parent_item.client", F.lit(":"), "parent_item.clock"), "parent_root").alias("parent")
+    firsts = sets.where("origin is null and parent_sub is not null").select("doc", owner, F.col("parent_sub").alias("key"), write, order.alias("o"))
+    at = stage(firsts.groupBy("doc", "parent", "key").agg(F.max_by("write", "o").alias("write")), "key-writes")
+    after = sets.where("origin is not null").select(F.col("doc").alias("d"), F.struct("origin.client", "origin.clock").alias("of"), write, order.alias("o"))
+    after = stage(after.groupBy("d", "of").agg(F.max_by("write", "o").alias("to")), "next-writes")
+    here = lambda c: F.struct(f"{c}.client", f"{c}.clock")
+    while True:
+        moved = at.join(after, (F.col("doc") == F.col("d")) & (here("write") == F.col("of")), "left")
+        moved = stage(moved.select("doc", "parent", "key", F.coalesce("to", "write").alias("write"), F.col("to").isNotNull().alias("moved")), "key-writes")
+        at = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            break
+        beyond = after.select(F.col("d").alias("e"), F.col("of").alias("via"), F.col("to").alias("beyond"))
+        after = stage(after.join(beyond, (F.col("d") == F.col("e")) & (here("to") == F.col("via")), "left").select("d", "of", F.coalesce("beyond", "to").alias("to")), "next-writes")
+    gone = merge_ranges(given.where("kind = 'Delete'").select("doc", "client", "clock", "len"))
+    found = at.select("doc", "parent", "key", "write.content_ref", "write.content", "write.client", F.col("write.clock").alias("at"))
+    return covering(found, gone, "left_anti").select("doc", "parent", "key", "content_ref", "content")
+
+
 def map_keys(items: DataFrame) -> DataFrame:
     """(doc, parent, keys, n)."""
-    return maps(items).groupBy("doc", "parent").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.count_distinct("key").alias("n"))
+    return keys_of(maps(items))
+
+
+def keys_of(values: DataFrame) -> DataFrame:
+    """(doc, parent, keys, n) of `maps` or `current_writes`."""
+    return values.groupBy("doc", "parent").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.count_distinct("key").alias("n"))
 
 
 def roots(items: DataFrame) -> DataFrame:

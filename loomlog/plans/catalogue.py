@@ -169,44 +169,35 @@ def clients_descending(spark, d):
 # -- documents ---------------------------------------------------------------------------------------
 
 
-def map_structs(spark, d, sub, content_ref, content):
-    """Each operation of a document sets one key of its map; a client's sets of one key follow one another."""
-    rows = ops(spark, d).withColumn("sub", sub.cast("string")).withColumn("len", F.lit(1).cast("long"))
+def map_writes(spark, d):
+    """The current values of maps: each operation of a document sets one key of its map; a client's sets of one key follow one another."""
+    rows = ops(spark, d).withColumn("sub", (F.col("k") % 20).cast("string"))
     rows = rows.withColumn("clock", F.row_number().over(Window.partitionBy("doc", "client").orderBy("ts", "seq")).cast("long") - 1)
-    before = F.lag("clock").over(Window.partitionBy("doc", "client", "sub").orderBy("clock"))
-    rows = rows.withColumn("prev", before)
+    rows = rows.withColumn("prev", F.lag("clock").over(Window.partitionBy("doc", "client", "sub").orderBy("clock")))
     none = F.lit(None).cast("struct<client: long, clock: long>")
-    return rows.select(
-        F.concat_ws("/", "doc", "sub").alias("doc"), "seq", F.lit(None).cast("string").alias("error"), "client", "clock", "len", F.lit("Item").alias("kind"),
+    content = F.to_json(F.struct(F.array(F.col("value").cast("string")).alias("values")))
+    return merge.current_writes(rows.select(
+        "doc", "seq", F.lit(None).cast("string").alias("error"), "client", "clock", F.lit(1).cast("long").alias("len"), F.lit("Item").alias("kind"),
         F.when(F.col("prev").isNotNull(), F.struct("client", F.col("prev").alias("clock"))).alias("origin"), none.alias("right_origin"), F.when(F.col("prev").isNull(), F.lit("map")).alias("parent_root"), none.alias("parent_item"),
-        F.when(F.col("prev").isNull(), F.col("sub")).alias("parent_sub"), F.lit(content_ref).alias("content_ref"), content.alias("content"), F.col("doc").alias("of"),
-    )
-
-
-def map_items(spark, d):
-    """The maps as merged; a key is a document of its own with clocks of its own, so that a document's keys are spread."""
-    rows = map_structs(spark, d, F.col("k") % 20, 8, F.to_json(F.struct(F.array(F.col("value").cast("string")).alias("values"))))
-    renumbered = F.row_number().over(Window.partitionBy("doc", "client").orderBy("clock")).cast("long") - 1
-    rows = rows.withColumn("clock", renumbered).withColumn("origin", F.when(F.col("clock") > 0, F.struct("client", (F.col("clock") - 1).alias("clock"))))
-    return merge.integrate(rows.drop("of"))
+        F.when(F.col("prev").isNull(), F.col("sub")).alias("parent_sub"), F.lit(8).alias("content_ref"), content.alias("content"),
+    ))
 
 
 @query(with_ops("SELECT doc, CAST(k % 20 AS VARCHAR) AS key, arg_max(value, (client, clock)) AS value FROM ops GROUP BY ALL"))
 def map_lww(spark, d):
     """Concurrent writers of a key: the last write of the greatest client stays."""
     value = F.get(F.from_json(F.get_json_object("content", "$.values"), "array<string>"), 0).cast("double")
-    return merge.maps(map_items(spark, d)).select(F.substring_index("doc", "/", 1).alias("doc"), "key", value.alias("value"))
+    return map_writes(spark, d).select("doc", "key", value.alias("value"))
 
 
 @query(with_ops("SELECT doc, string_agg(key, ',' ORDER BY key) AS keys FROM (SELECT DISTINCT doc, CAST(k % 20 AS VARCHAR) AS key FROM ops) GROUP BY ALL"))
 def map_keys(spark, d):
-    each = merge.map_keys(map_items(spark, d)).select(F.substring_index("doc", "/", 1).alias("doc"), F.explode("keys").alias("key"))
-    return each.groupBy("doc").agg(F.array_join(F.sort_array(F.collect_set("key")), ",").alias("keys"))
+    return merge.keys_of(map_writes(spark, d)).select("doc", F.array_join("keys", ",").alias("keys"))
 
 
 @query(with_ops("SELECT doc, count(DISTINCT k % 20) AS n FROM ops GROUP BY ALL"))
 def map_len(spark, d):
-    return merge.map_keys(map_items(spark, d)).groupBy(F.substring_index("doc", "/", 1).alias("doc")).agg(F.sum("n").alias("n"))
+    return merge.keys_of(map_writes(spark, d)).select("doc", "n")
 
 
 @query("SELECT conv_id, string_agg(text, '' ORDER BY role, turn) AS text FROM conversations GROUP BY ALL")
