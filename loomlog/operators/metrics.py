@@ -60,14 +60,25 @@ def index_percentiles(samples: DataFrame, value: str, ps: dict[str, float], key:
 def windowed_rate(samples: DataFrame, seconds: int, key: tuple, value: Column | None = None) -> DataFrame:
     """samples with `rate`: what came in the last so many seconds, each second.
 
-    Time is cut into blocks of that width; each sample also goes to the block after its own, which is as far as it counts.
+    Time is cut into blocks of that width. A sample's window is its block up to it and the end of the block before, so it takes a running
+    sum of the one and, at the time when it leaves the window, a running sum from behind of the other. Each row is added once, however
+    many a block holds; a sliding frame would add up its window anew for each row. Samples without a time are left out.
     """
     width = seconds * 1_000_000
-    own = F.floor(F.col("__at") / width)
-    both = samples.withColumn("__at", micros("ts")).withColumn("__own", own).withColumn("__block", F.explode(F.array(own, own + 1)))
-    w = Window.partitionBy(*key, "__block").orderBy("__at").rangeBetween(-width + 1, 0)
-    what = F.count(F.lit(1)) if value is None else F.sum(value)
-    return both.withColumn("rate", what.over(w) / seconds).where("__block = __own").drop("__at", "__own", "__block")
+    amount = F.lit(1).cast("long") if value is None else value
+    timed = samples.withColumns({"__at": micros("ts"), "__amount": amount}).where("__at is not null").withColumn("__block", F.floor(F.col("__at") / width))
+    inside = Window.partitionBy(*key, "__block")
+    upto, since = inside.orderBy("__at").rangeBetween(Window.unboundedPreceding, 0), inside.orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, 0)
+    summed = timed.withColumns({"__upto": F.sum("__amount").over(upto), "__since": F.struct(F.sum("__amount").over(since).alias("sum"))})
+    # each sample, and in the next block the time from which on it no longer counts
+    own = F.struct("__block", "__at", F.lit(False).alias("leaves"))
+    next_ = F.struct((F.col("__block") + 1).alias("__block"), (F.col("__at") + width).alias("__at"), F.lit(True).alias("leaves"))
+    both = summed.withColumn("__x", F.explode(F.array(own, next_))).withColumns({"__block": F.col("__x.__block"), "__at": F.col("__x.__at"), "__leaves": F.col("__x.leaves")})
+    later = Window.partitionBy(*key, "__block").orderBy(F.desc("__at"), "__leaves").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.last(F.when(F.col("__leaves"), F.col("__since")), ignorenulls=True).over(later)["sum"]
+    found = both.withColumn("__carried", carried).where("not __leaves")
+    total = F.when(F.col("__upto").isNull(), F.col("__carried")).otherwise(F.col("__upto") + F.coalesce("__carried", F.lit(0)))
+    return found.withColumn("rate", total / seconds).select(*[F.col(f"`{c}`") for c in samples.columns if c != "rate"], "rate")
 
 
 def ratio(above: DataFrame, below: DataFrame, key: tuple, name: str = "ratio") -> DataFrame:
