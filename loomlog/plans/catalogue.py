@@ -735,5 +735,5 @@ def envelope_classify(spark, d):
 
 @query()
 def pack_stats(spark, d):
-    rows = read(spark, d, "documents").select(F.encode("text", "UTF-8").alias("raw")).select(F.octet_length("raw").alias("raw"), codec.packed("raw").alias("p"))
-    return rows.groupBy("p.codec").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_bytes"), F.sum(F.octet_length("p.stored")).alias("stored_bytes"))
+    rows = codec.packed_sizes(read(spark, d, "documents").select(F.encode("text", "UTF-8").alias("raw")), "raw")
+    return rows.groupBy("codec").agg(F.count(F.lit(1)).alias("n"), F.sum("raw").alias("raw_bytes"), F.sum("stored").alias("stored_bytes"))

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from loomlog.functions import codec
 from loomlog.operators import metrics
 
 START = datetime(2024, 1, 1)
@@ -29,3 +30,10 @@ def test_windowed_rate_of_a_hot_block_takes_linear_time(spark):
     rates = metrics.windowed_rate(samples, 3600, ("doc",))
     assert [r.n for r in rates.where("seq = 299999 or seq = 9").orderBy("seq").select((F.col("rate") * 3600).cast("long").alias("n")).collect()] == [10, 300_000]
     assert time.time() - begin < 30
+
+
+def test_packed_payloads_stay_in_their_task(spark):
+    rows = [(b"a" * 1000,), (b"short",), (b"",), (None,), (random.Random(1).randbytes(500),)]
+    found = codec.packed_sizes(spark.createDataFrame(rows, "p binary"), "p")
+    assert sorted(map(str, found.collect())) == sorted(f"Row(codec={c}, raw={None if p is None else len(p)}, stored={len(s)})" for (p,) in rows for c, s in [codec.pack(p or b"")])
+    assert [t for _, t in found.dtypes] == ["int", "bigint", "bigint"]
