@@ -36,6 +36,8 @@ from loomlog.llm.common import stage
 
 WORD = re.compile(r"\w+")
 SHINGLE, SIMILARITY, RADIUS, SIEVE = 5, 0.8, 20, 1 << 27
+#: What a task remembers of words, texts and contents; what it forgets is only worked out or sent again.
+REMEMBERED = 100_000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -50,7 +52,7 @@ def shingle_hashes(tokens: list[str], size: int, known: dict[str, int] | None =
     if len(tokens) < size:
         return np.empty(0, np.uint64)
     h, known = xxhash.xxh3_64_intdigest, {} if known is None else known
-    if len(known) > 500_000:
+    if len(known) > REMEMBERED:
         known.clear()
     for t in set(tokens).difference(known):
         known[t] = h(t.encode("utf-8", "surrogatepass"))
@@ -190,7 +192,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
                 h = shingle_hashes(words(text.as_py()), shingle, known)
                 first = True
                 for n, size, starts in windows(h, sieve, sent.value[1], similarity) if len(h) else ():
-                    if first and len(texts) < 1_000_000:
+                    if first and len(texts) < REMEMBERED:
                         texts.add(key)  # equal texts hold the same windows
                     first, seen = False, set()
                     for at in starts.tolist():
@@ -200,7 +202,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
                             continue
                         seen.add(c)
                         new = c not in met
-                        if len(met) < 1_000_000:
+                        if len(met) < REMEMBERED:
                             met.add(c)
                         rows.append((key, c, n, size, at, _fp(bag) if new else None, bag.view(np.int64) if new else None))
                         if len(rows) >= 2000:
@@ -220,7 +222,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     near = left.join(right, (F.col("n") == F.col("m")) & (F.col("salt") == F.col("on")) & (blocks <= radius) & (F.bit_count(apart) <= radius))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 500) for x in batches for i in range(0, x.num_rows, 500)):
             said = [weighted_similarity(Counter(x), Counter(y)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(said, pa.float64())], ["c", "n", "item", "similarity"]).filter(pa.array([x >= similarity for x in said], pa.bool_()))
 
