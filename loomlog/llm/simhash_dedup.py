@@ -205,17 +205,45 @@ def _set_fingerprint(hashes: np.ndarray) -> list[int]:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<i8").ravel().tolist()
 
 
-def _common(rows: DataFrame, words: int, share: int = 16, least: int = 4, most: int = 1 << 17) -> np.ndarray:
-    """Shingles that are frequent in a sample of the texts, the rarest of them first; only an order of shingles depends on it."""
+def _common(rows: DataFrame, words: int, share: int = 1024, least: int = 64, most: int = 1 << 17, buckets: int = 1 << 20) -> np.ndarray:
+    """Shingles that at least `least` texts and one in `share` hold, the rarest first; of more than `most` the most frequent.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Every text counts. Shingles are first counted in buckets, whose counts are at least theirs, so that the exact count need only look
+    at full buckets; a task holds one number a bucket, and the driver one bit.
+    """
+    least, mask, size = max(least, rows.count() // share), np.uint64(buckets - 1), 4096
+
+    def sets(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for i in range(0, b.num_rows, 500):
+            yield np.concatenate([_shingle_set(t.as_py() or "", words) for t in b.column(0)[i : i + 500]])
+
+    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(buckets, np.int64)
+        for b in batches:
+            for s in sets(b):
+                counts += np.bincount((s & mask).astype(np.int64), minlength=buckets)
+        parts = counts.astype("<i4").reshape(-1, size)
+        held = np.nonzero(parts.any(1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([parts[k].tobytes() for k in held], pa.binary())], ["c", "counts"])
+
+    def full(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), "<i4").astype(np.int64) for x in part.column("counts"))
+        return pa.table({"c": part.column("c")[:1], "bits": pa.array([np.packbits(total >= least).tobytes()], pa.binary())})
+
+    texts = rows.select("text")
+    bits = np.zeros(buckets // 8, np.uint8)
+    for r in texts.mapInArrow(bucketed, "c int, counts binary").groupBy("c").applyInArrow(full, "c int, bits binary").collect():
+        bits[r.c * size // 8 : (r.c + 1) * size // 8] = np.frombuffer(r.bits, np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(sent.value).astype(bool)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                found = [_shingle_set(t.as_py() or "", words) for t in b.column(0)[i : i + 500]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["s"])
+            for s in sets(b):
+                some, n = np.unique(s[wanted[(s & mask).astype(np.int64)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n, pa.int64())], ["s", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").mapInArrow(work, "s long")
-    found = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).collect()
+    found = texts.mapInArrow(counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(most).collect()
     return np.array([r.s for r in reversed(found)], np.int64).view(np.uint64)
 
 
